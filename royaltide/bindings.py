@@ -88,7 +88,7 @@ BINDINGS: dict[str, str] = {
         SELECT event_id AS request_id, ts AS request_time,
                CAST(floor(value * 20) AS BIGINT) AS execution_time_ms, text AS request
         FROM {events} JOIN {documents}
-             ON event_id % (SELECT count(*) FROM {documents}) = doc_id""",
+             ON CAST(floor(event_id / 10) AS BIGINT) = doc_id""",
     "messages": "SELECT conv_id, turn, role, text AS content FROM {conversations}",
     "eval_pairs": """
         SELECT q.conv_id, q.turn, q.text AS question, a.text AS answer, b.text AS expected,
@@ -97,7 +97,7 @@ BINDINGS: dict[str, str] = {
              JOIN {conversations} AS a
                ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant'
              JOIN {benchmark} AS b
-               ON q.conv_id % (SELECT count(*) FROM {benchmark}) = b.item_id
+               ON CAST(floor(q.conv_id / 5) AS BIGINT) = b.item_id
         WHERE q.role = 'user'""",
 }
 
