@@ -6,7 +6,7 @@ import importlib
 
 from royaltide.plans.common import Query
 
-SECTIONS = ("quality", "features", "lookups", "monitoring", "guardrails", "textops")
+SECTIONS = ("quality", "features", "lookups", "monitoring", "guardrails", "textops", "search")
 
 
 def _sections():

@@ -98,4 +98,4 @@ def sql_draw(row: str, stream: int, seed: int) -> str:
 
 
 def sql_words(text: str) -> str:
-    return f"list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9]+'), x -> x <> '')"
+    return f"regexp_extract_all(lower({text}), '[a-z0-9]+')"

@@ -22,7 +22,7 @@ TITLE_MOODS = {
     "Romantic": ["small", "ring"],
     "Dark": ["rod", "plate"],
 }
-URGENT = ["legal", "technical"]
+URGENT = ["german", "french"]
 
 
 def _label_sql(text, labels, default):
@@ -105,7 +105,7 @@ def _(t):
     f"""SELECT conv_id, turn, sentiment,
         '[' || sentiment || '] ' || trim(split_part(content, '.', 1)) AS issue_summary
         FROM (SELECT *, {_label_sql("content", TOPICS, "neutral")} AS sentiment FROM {{messages}})
-        WHERE sentiment IN ('legal', 'technical')""",
+        WHERE sentiment IN ('german', 'french')""",
 )
 def _(t):
     kept = X.triage(t.messages, "content", TOPICS, URGENT)
