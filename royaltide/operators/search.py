@@ -307,8 +307,8 @@ def vector_topk_lsh(
     index: DataFrame,
     queries: DataFrame,
     k: int = 10,
-    tables: int = 12,
-    bits: int = 6,
+    tables: int = 16,
+    bits: int = 5,
     dim: int = 64,
     id_col: str = "vec_id",
     vec_col: str = "embedding",

@@ -6,7 +6,9 @@ import importlib
 
 from royaltide.plans.common import Query
 
-SECTIONS = ("quality", "features", "lookups", "monitoring", "guardrails", "textops", "search")
+SECTIONS = (
+    "sources", "quality", "features", "search", "textops", "lookups", "monitoring", "guardrails",
+)
 
 
 def _sections():

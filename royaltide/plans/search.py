@@ -96,13 +96,13 @@ def _(t):
 
 @CAT.add("vector_topk_lsh")
 def _(t):
-    return S.vector_topk_lsh(t.embeddings, _queries(t), 10)
+    return S.vector_topk_lsh(t.embeddings, _queries(t), 10, tables=24, bits=4)
 
 
 @CAT.add("vector_lsh_recall")
 def _(t):
     exact = S.vector_topk(t.embeddings, _queries(t), 10)
-    return S.recall(exact, S.vector_topk_lsh(t.embeddings, _queries(t), 10), "query_id", "vec_id")
+    return S.recall(exact, S.vector_topk_lsh(t.embeddings, _queries(t), 10, tables=24, bits=4), "query_id", "vec_id")
 
 
 @CAT.add(
@@ -116,10 +116,11 @@ def _(t):
     scaled AS (SELECT side, id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY side, id)) AS w FROM counted),
     scored AS (SELECT q.id AS query_id, CAST(i.id AS BIGINT) AS song_id, round(sum(q.w * i.w), 9) AS similarity_score
                FROM scaled q JOIN scaled i ON q.bucket = i.bucket AND q.side = 'q' AND i.side = 's'
-               GROUP BY ALL
-               QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, song_id) <= 10)
+               GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id
+                                            ORDER BY similarity_score DESC, song_id) AS pos FROM scored)
     SELECT query_id, song_id, title, artist_name, genre, songwriter_names, similarity_score
-    FROM scored JOIN texts USING (song_id)""",
+    FROM ranked JOIN texts USING (song_id) WHERE pos <= 10""",
 )
 def _(t):
     text = F.concat(F.lit("find "), F.lower("genre"), F.lit(" by "), F.col("artist_name"))
