@@ -8,7 +8,7 @@ from royaltide.plans.common import Query
 
 SECTIONS = (
     "sources", "quality", "features", "search", "textops", "lookups", "monitoring", "guardrails",
-    "evaluation", "streams",
+    "evaluation", "streams", "tablefuncs",
 )
 
 
