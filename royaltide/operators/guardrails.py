@@ -10,28 +10,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from royaltide.functions.columns import hash_bucket, percent
+from royaltide.functions.columns import any_of, hash_bucket, percent
 
 
 @dataclass(frozen=True)
 class PiiPattern:
-    """A regex; with ``context`` it only counts in texts holding one of the words."""
+    """A regex; with ``context`` it only counts in texts holding one of the words.
+
+    ``literal`` is a string every match contains. Texts without it (or without
+    any context word) are passed over by a plain substring test, which is far
+    cheaper than the regex.
+    """
 
     regex: str
     context: Sequence[str] = ()
+    literal: str | None = None
 
     def context_holds(self, text: Column) -> Column:
         if not self.context:
             return F.lit(True)
-        return text.rlike(r"\b(" + "|".join(self.context) + r")\b")
+        nearby = any_of([text.contains(word) for word in self.context])
+        return nearby & text.rlike(r"\b(" + "|".join(self.context) + r")\b")
+
+    def possible(self, text: Column) -> Column:
+        holds = self.context_holds(text)
+        return holds if self.literal is None else text.contains(self.literal) & holds
 
 
 # Sensitive-data patterns.
 PII_PATTERNS = {
-    "email": PiiPattern(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"),
+    "email": PiiPattern(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", literal="@"),
     "ipi_number": PiiPattern(r"\b\d{9,11}\b", ("IPI", "ipi", "publisher", "songwriter")),
     "phone": PiiPattern(r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b"),
-    "ssn": PiiPattern(r"\b\d{3}-\d{2}-\d{4}\b"),
+    "ssn": PiiPattern(r"\b\d{3}-\d{2}-\d{4}\b", literal="-"),
 }
 # Phrases refused in requests and in answers.
 INPUT_KEYWORDS = (
@@ -47,7 +58,7 @@ OUTPUT_KEYWORDS = (
 def pii_hits(text: Column | str, pattern: PiiPattern) -> Column:
     """Number of matches in the whole text; 0 when the context word is missing."""
     text = F.col(text) if isinstance(text, str) else text
-    found = F.when(pattern.context_holds(text), F.regexp_count(text, F.lit(pattern.regex)))
+    found = F.when(pattern.possible(text), F.regexp_count(text, F.lit(pattern.regex)))
     return F.coalesce(found, F.lit(0))
 
 
@@ -94,7 +105,7 @@ def apply_pii_policy(
     def redact(current: Column, item: tuple[str, PiiPattern]) -> Column:
         name, pattern = item
         replaced = F.regexp_replace(current, pattern.regex, f"[{name.upper()}]")
-        return F.when(pattern.context_holds(text), replaced).otherwise(current)
+        return F.when(pattern.possible(text), replaced).otherwise(current)
 
     return (
         df.withColumn("reason", reason)

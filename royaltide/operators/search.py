@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from royaltide.functions.columns import hash_bucket, split_ids, words
+from royaltide.functions.columns import split_ids
 
 DIM = 1024
 # Scores are ranked at this many decimals, so that copies of a vector tie
@@ -20,6 +23,7 @@ SCORE_DIGITS = 9
 # A query table within both bounds is sent to the tasks; a larger one is shuffled.
 MAX_SENT_QUERIES = 4096
 MAX_SENT_BYTES = 64 << 20
+SCORE_CELLS = 4 << 20
 
 
 # --- text ----------------------------------------------------------------------
@@ -77,22 +81,46 @@ def compose_text(
 # --- embeddings ----------------------------------------------------------------
 
 
-def _unit_counts(dim: int):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def unit(buckets: pd.Series) -> pd.Series:
-        out: list[np.ndarray] = []
-        step = max(1, (8 << 20) // dim)
-        for start in range(0, len(buckets), step):
-            part = [np.asarray(b if b is not None else [], dtype=np.int64) for b in buckets.iloc[start : start + step]]
-            rows = np.repeat(np.arange(len(part)), [len(b) for b in part])
-            flat = np.concatenate(part) if part else np.empty(0, np.int64)
-            counts = np.bincount(rows * dim + flat, minlength=len(part) * dim).astype(np.float64)
-            counts = counts.reshape(len(part), dim)
-            length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
-            out.extend(counts / np.where(length == 0, 1.0, length))
-        return pd.Series(out, index=buckets.index, dtype=object)
-
-    return unit
+def _hash_rows(dim: int, tokens: str, name: str):
+    """Batch function: token lists to unit vectors of hashed word counts.
+
+    A word is hashed once per batch, however often it occurs; everything per
+    token runs inside Arrow and numpy.
+    """
+
+    def bucket(word: str) -> int:
+        return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
+
+    def vectors(lists: pa.ListArray) -> pa.Array:
+        flat = lists.flatten().dictionary_encode()
+        vocabulary = flat.dictionary.to_pylist()
+        # Splitting leaves an empty string at the edges; it is no word.
+        places = np.array([bucket(w) if w else -1 for w in vocabulary], dtype=np.int64)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        rows = np.repeat(np.arange(len(lists)), sizes)
+        columns = places[flat.indices.to_numpy()] if len(flat) else np.empty(0, np.int64)
+        rows, columns = rows[columns >= 0], columns[columns >= 0]
+        counts = np.bincount(rows * dim + columns, minlength=len(lists) * dim).astype(np.float64)
+        counts = counts.reshape(len(lists), dim)
+        length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        unit = counts / np.where(length == 0, 1.0, length)
+        ends = np.arange(0, len(lists) * dim + 1, dim, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(unit.ravel()))
+
+    step = max(1, (4 << 20) // dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                at = part.schema.get_field_index(tokens)
+                arrays = [c for i, c in enumerate(part.columns) if i != at]
+                names = [n for n in part.schema.names if n != tokens]
+                yield pa.RecordBatch.from_arrays(
+                    arrays + [vectors(part.column(at))], names=names + [name]
+                )
+
+    return run
 
 
 def embed(
@@ -108,8 +136,11 @@ def embed(
     counts to length 1. A ``backend`` maps a batch of texts to vectors instead.
     """
     if backend is None:
-        buckets = F.transform(words(text_col), lambda w: hash_bucket(w, dim).cast("int"))
-        return df.withColumn(name, _unit_counts(dim)(buckets))
+        tokens = F.split(F.lower(text_col), "[^a-z0-9]+")
+        kept = [f for f in df.schema.fields if f.name != name]
+        schema = T.StructType([*kept, T.StructField(name, T.ArrayType(T.DoubleType()))])
+        cut = df.select(*[f.name for f in kept], tokens.alias("_tokens"))
+        return cut.mapInArrow(_hash_rows(dim, "_tokens", name), schema)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def call(texts: pd.Series) -> pd.Series:
@@ -142,14 +173,23 @@ def _score_batch(
     items: pd.DataFrame, id_col: str, vec_col: str, keep: Sequence[str],
     query_ids: Sequence, query_matrix: np.ndarray, query_id: str, k: int,
 ) -> pd.DataFrame:
-    scores = np.round(_matrix(items[vec_col]) @ query_matrix.T, SCORE_DIGITS)
-    ids = items[id_col].to_numpy()
-    taken = [_best_rows(scores[:, j], ids, k) for j in range(len(query_ids))]
-    rows = np.concatenate(taken)
-    columns = np.repeat(np.arange(len(query_ids)), [len(x) for x in taken])
-    out = items[list(keep)].iloc[rows].reset_index(drop=True)
-    out.insert(0, query_id, pd.Series(query_ids).iloc[columns].to_numpy())
-    out["score"] = scores[rows, columns]
+    """The k best items of the batch for every query.
+
+    Queries go through in slices, so the score matrix stays below SCORE_CELLS.
+    """
+    matrix, ids = _matrix(items[vec_col]), items[id_col].to_numpy()
+    width = max(1, SCORE_CELLS // len(items))
+    rows, columns, found = [], [], []
+    for start in range(0, len(query_ids), width):
+        scores = np.round(matrix @ query_matrix[start : start + width].T, SCORE_DIGITS)
+        for j in range(scores.shape[1]):
+            best = _best_rows(scores[:, j], ids, k)
+            rows.append(best)
+            columns.append(np.full(len(best), start + j))
+            found.append(scores[best, j])
+    out = items[list(keep)].iloc[np.concatenate(rows)].reset_index(drop=True)
+    out.insert(0, query_id, pd.Series(query_ids).iloc[np.concatenate(columns)].to_numpy())
+    out["score"] = np.concatenate(found)
     return out
 
 
@@ -319,59 +359,66 @@ def vector_topk_lsh(
 ) -> DataFrame:
     """Approximate top-k by random-hyperplane buckets with exact re-ranking.
 
-    Items and queries that share a bucket of any table are compared. A bucket
-    of more than ``bucket_rows`` items (say, many copies of one vector) is cut
-    into salted pieces that every query of the bucket visits, so no task holds
-    a whole hot bucket and no candidate is dropped. A pair that meets in several
-    tables is scored only in the first of them.
+    Items and queries that share a bucket of any table meet. Large buckets are
+    dealt into pieces on both sides (say, for many copies of one vector): every
+    item piece meets every query piece, so no task holds a whole hot bucket and
+    no candidate is dropped. A pair of pieces is scored by matrix products and
+    only its k best per query leave the task.
     """
-    sig_items = _signatures(vec_col, tables, bits, dim, seed)
-    sig_queries = _signatures(query_vec, tables, bits, dim, seed)
-    items = index.select(id_col, vec_col).withColumn("_sig", sig_items)
-    asked = queries.select(query_id, query_vec).withColumn("_qsig", sig_queries)
-    placed = items.select(id_col, vec_col, "_sig", F.posexplode("_sig").alias("_table", "_bucket"))
-    probing = asked.select(
-        query_id, query_vec, "_qsig", F.posexplode("_qsig").alias("_table", "_bucket")
+    items = index.select(
+        id_col, vec_col,
+        F.posexplode(_signatures(vec_col, tables, bits, dim, seed)).alias("_table", "_bucket"),
     )
-    # At most tables * 2^bits rows, a bound the arguments fix.
-    pieces = F.broadcast(
-        placed.groupBy("_table", "_bucket").agg(
-            F.ceil(F.count(F.lit(1)) / bucket_rows).cast("int").alias("_pieces")
-        )
+    asked = queries.select(
+        query_id, query_vec,
+        F.posexplode(_signatures(query_vec, tables, bits, dim, seed)).alias("_table", "_bucket"),
     )
-    placed = placed.join(pieces, ["_table", "_bucket"]).withColumn(
-        "_salt", F.pmod(F.xxhash64(id_col), F.col("_pieces").cast("bigint")).cast("int")
+
+    def pieces(side: DataFrame, rows: int, name: str) -> DataFrame:
+        # At most tables * 2^bits rows, a bound the arguments fix.
+        counted = side.groupBy("_table", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+        return F.broadcast(
+            counted.select("_table", "_bucket", F.ceil(F.col("_n") / rows).cast("int").alias(name))
+        )
+
+    def piece_of(key: str, name: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.col(name).cast("bigint")).cast("int")
+
+    def every(name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+
+    item_pieces = pieces(items, bucket_rows, "_ip")
+    query_pieces = pieces(asked, MAX_SENT_QUERIES, "_qp")
+    # The inner joins also drop buckets that only one side has.
+    both = ["_table", "_bucket"]
+    group = [*both, "_i", "_q"]
+    left = (
+        items.join(query_pieces, both).join(item_pieces, both)
+        .withColumn("_i", piece_of(id_col, "_ip")).withColumn("_q", every("_qp"))
+        .select(*group, id_col, vec_col)
     )
-    probing = probing.join(pieces, ["_table", "_bucket"]).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))
+    right = (
+        asked.join(item_pieces, both).join(query_pieces, both)
+        .withColumn("_q", piece_of(query_id, "_qp")).withColumn("_i", every("_ip"))
+        .select(*group, query_id, query_vec)
     )
-    shared = F.zip_with("_sig", "_qsig", lambda a, b: a == b)
-    first_shared = F.array_position(shared, True) - 1
-    fields = T.StructType(
+    schema = T.StructType(
         [queries.schema[query_id], index.schema[id_col], T.StructField("score", T.DoubleType())]
     )
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                pairs = np.einsum("ij,ij->i", _matrix(batch[vec_col]), _matrix(batch[query_vec]))
-                yield pd.DataFrame(
-                    {
-                        query_id: batch[query_id],
-                        id_col: batch[id_col],
-                        "score": np.round(pairs, SCORE_DIGITS),
-                    }
-                )
+    def meet(some_items: pd.DataFrame, some_queries: pd.DataFrame) -> pd.DataFrame:
+        if some_items.empty or some_queries.empty:
+            return pd.DataFrame(columns=schema.fieldNames())
+        return _score_batch(
+            some_items, id_col, vec_col, [id_col], some_queries[query_id].tolist(),
+            _matrix(some_queries[query_vec]), query_id, k,
+        )
 
-    met = (
-        placed.drop("_pieces")
-        .join(probing.drop("_pieces"), ["_table", "_bucket", "_salt"])
-        .where(first_shared == F.col("_table"))
-        .select(query_id, id_col, query_vec, vec_col)
-    )
+    met = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(meet, schema)
     order = W.partitionBy(query_id).orderBy(F.desc("score"), F.asc(id_col))
     return (
-        met.mapInPandas(score, fields)
+        met.groupBy(query_id, id_col)
+        .agg(F.max("score").alias("score"))
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
     )

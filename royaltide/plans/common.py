@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from royaltide.bindings import bind, with_bindings
+from royaltide.session import fill_cores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +46,10 @@ class Tables:
         self.sf_dir = sf_dir
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
+    def spread(self, name: str) -> DataFrame:
+        """Table for work that costs much per row."""
+        return fill_cores(bind(self.spark, self.sf_dir, name))
+
     def __getattr__(self, name: str) -> DataFrame:
         return bind(self.spark, self.sf_dir, name)
 

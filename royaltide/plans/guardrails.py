@@ -12,7 +12,7 @@ CAT = Catalogue()
 # three kinds that do occur are added.
 PATTERNS = {
     **G.PII_PATTERNS,
-    "long_phone": G.PiiPattern(r"\+1 \(\d{3}\) \d{3}-\d{4}"),
+    "long_phone": G.PiiPattern(r"\+1 \(\d{3}\) \d{3}-\d{4}", literal="+1 ("),
     "address": G.PiiPattern(r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"),
     "card": G.PiiPattern(r"\b\d{4} \d{4} \d{4} \d{4}\b"),
 }
@@ -41,7 +41,7 @@ def _hits_sql(keys, table):
 
 @CAT.add("detect_pii", f"SELECT * FROM ({_hits_sql('doc_id', '{documents}')}) WHERE hits > 0")
 def _(t):
-    return G.detect_pii(t.documents, "text", PATTERNS)
+    return G.detect_pii(t.spread("documents"), "text", PATTERNS)
 
 
 _KINDS = ", ".join(
@@ -56,7 +56,7 @@ _KINDS = ", ".join(
            nullif(kinds, '') AS reason, kinds <> '' AS blocked FROM marked""",
 )
 def _(t):
-    out = G.apply_pii_policy(t.documents, "text", PATTERNS, "BLOCK")
+    out = G.apply_pii_policy(t.spread("documents"), "text", PATTERNS, "BLOCK")
     return out.select("doc_id", F.md5("text").alias("text_md5"), "reason", "blocked")
 
 
@@ -79,7 +79,7 @@ def _redacted():
         FROM {{documents}}""",
 )
 def _(t):
-    out = G.apply_pii_policy(t.documents, "text", PATTERNS, "REDACT")
+    out = G.apply_pii_policy(t.spread("documents"), "text", PATTERNS, "REDACT")
     return out.select("doc_id", F.md5("text").alias("text_md5"), "reason")
 
 
@@ -94,7 +94,7 @@ _FIRST_WORD = "coalesce(" + ", ".join(
         FROM {{documents}}""",
 )
 def _(t):
-    return G.block_keywords(t.documents, "text", WORDS).select(
+    return G.block_keywords(t.spread("documents"), "text", WORDS).select(
         "doc_id", "matched_keyword", "blocked"
     )
 

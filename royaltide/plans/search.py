@@ -55,7 +55,7 @@ def _(t):
     FROM counted""",
 )
 def _(t):
-    vectors = S.embed(t.documents.select("doc_id", "text"), "text", DIM)
+    vectors = S.embed(t.spread("documents").select("doc_id", "text"), "text", DIM)
     tall = vectors.select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
     return tall.where(F.col("weight") > 0).select(
         "doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.round("weight", 12).alias("weight")

@@ -42,7 +42,7 @@ _MOOD = _label_sql(_SONG_TEXT, TITLE_MOODS, "Chill")
 
 @CAT.add("classify_text", f"SELECT doc_id, {_DOC_LABEL} AS label FROM {{documents}}")
 def _(t):
-    return X.classify(t.documents, "text", TOPICS, "other").select("doc_id", "label")
+    return X.classify(t.spread("documents"), "text", TOPICS, "other").select("doc_id", "label")
 
 
 @CAT.add(
@@ -71,7 +71,7 @@ FIELDS = {
     + " FROM {documents}",
 )
 def _(t):
-    found = X.extract(t.documents, "text", FIELDS)
+    found = X.extract(t.spread("documents"), "text", FIELDS)
     return found.select("doc_id", "extracted.*")
 
 
@@ -81,7 +81,7 @@ def _(t):
 )
 def _(t):
     prompt = F.concat(F.lit("Summarise for an executive:\n"), F.col("text"))
-    out = X.generate(t.documents, prompt, spread_by=["doc_id"], name="executive_summary")
+    out = X.generate(t.spread("documents"), prompt, spread_by=["doc_id"], name="executive_summary")
     return out.select("doc_id", "executive_summary")
 
 

@@ -59,3 +59,14 @@ def durable(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """Fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def fill_cores(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer tasks than there are cores.
+
+    Large tables have many splits and pass through unchanged; only a small
+    input, such as one file with one row group, is dealt out once so that
+    costly per-row work does not run in a single task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
