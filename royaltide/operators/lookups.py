@@ -9,6 +9,7 @@ scope of its own value and to ``*``, so that "no filter" is an equi-join too.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -426,9 +427,12 @@ def _overview(
         .agg(F.sum("_n").alias("total_licenses"), F.sum("_active").alias("active_licenses"))
     )
     everyone = writers.agg(F.count_distinct("songwriter_id")).scalar()
-    out = scopes
-    for part in (counts, totals, licensed, leader("genre", "top_genre"), leader("artist_name", "top_artist")):
-        out = out.join(part, "_scope", "left")
+    # Every part has at most one row per scope, so stacking them and taking the
+    # only value of each column replaces five joins.
+    parts = (counts, totals, licensed, leader("genre", "top_genre"), leader("artist_name", "top_artist"))
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts, scopes)
+    figures = [c for c in stacked.columns if c != "_scope"]
+    out = stacked.groupBy("_scope").agg(*[F.max(c).alias(c) for c in figures])
     average = F.round(F.try_divide(F.col("total_net_revenue"), F.col("total_songs")), 2)
     return (
         out.fillna(0, ["total_songs", "total_artists", "total_genres", "total_licenses"])

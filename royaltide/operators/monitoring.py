@@ -54,7 +54,8 @@ INPUT_PRICE = 0.000003
 OUTPUT_PRICE = 0.000015
 SLA_MS = 2000
 
-TOTAL = F.count(F.lit(1))
+def _total() -> Column:
+    return F.count(F.lit(1))
 
 
 def _ok() -> Column:
@@ -113,7 +114,7 @@ def daily_volume(usage, entities, endpoint: str, as_of: str, days: int = 30) ->
         _requests(usage, entities, endpoint, as_of, days)
         .groupBy("date")
         .agg(
-            TOTAL.alias("total_requests"),
+            _total().alias("total_requests"),
             F.count_distinct("client_request_id").alias("unique_sessions"),
             F.count_distinct("requester").alias("unique_users"),
             _ok().alias("successful_requests"),
@@ -130,7 +131,7 @@ def hour_weekday(usage, entities, endpoint: str, as_of: str, days: int = 7) -> D
             F.hour("request_time").alias("hour_of_day"),
             F.dayofweek("request_time").alias("day_of_week"),
         )
-        .agg(TOTAL.alias("request_count"))
+        .agg(_total().alias("request_count"))
         .orderBy("day_of_week", "hour_of_day")
     )
 
@@ -144,7 +145,7 @@ def _latency_counts(payload: DataFrame, as_of: str, days: int) -> DataFrame:
     return (
         _recent_time(payload, as_of, days)
         .groupBy(F.to_date("request_time").alias("date"), "execution_time_ms")
-        .agg(TOTAL.alias("_n"))
+        .agg(_total().alias("_n"))
     )
 
 
@@ -183,7 +184,7 @@ def latency_buckets(
     counted = (
         _recent_time(payload, as_of, days)
         .groupBy(place.alias("_place"))
-        .agg(TOTAL.alias("request_count"))
+        .agg(_total().alias("request_count"))
     )
     # The window sees one row per bucket.
     whole = F.sum("request_count").over(W.partitionBy())
@@ -200,9 +201,9 @@ def daily_errors(usage, entities, endpoint: str, as_of: str, days: int = 14) ->
         _requests(usage, entities, endpoint, as_of, days)
         .groupBy("date")
         .agg(
-            TOTAL.alias("total_requests"),
+            _total().alias("total_requests"),
             _failed().alias("error_count"),
-            percent(_failed(), TOTAL).alias("error_rate_pct"),
+            percent(_failed(), _total()).alias("error_rate_pct"),
         )
         .orderBy("date")
     )
@@ -211,7 +212,7 @@ def daily_errors(usage, entities, endpoint: str, as_of: str, days: int = 14) ->
 def error_share(usage, entities, endpoint: str, as_of: str, days: int = 7) -> DataFrame:
     """How the errors divide over status codes."""
     failed = _requests(usage, entities, endpoint, as_of, days).where(F.col("status_code") != 200)
-    counted = failed.groupBy("status_code").agg(TOTAL.alias("error_count"))
+    counted = failed.groupBy("status_code").agg(_total().alias("error_count"))
     whole = F.sum("error_count").over(W.partitionBy())
     return counted.withColumn("percentage", percent(F.col("error_count"), whole)).orderBy(
         F.desc("error_count"), "status_code"
@@ -250,7 +251,7 @@ def _by_rule(
     )
     return (
         typed.groupBy(label)
-        .agg(TOTAL.alias(count), F.round(F.avg("execution_time_ms"), 0).alias("avg_latency_ms"))
+        .agg(_total().alias(count), F.round(F.avg("execution_time_ms"), 0).alias("avg_latency_ms"))
         .orderBy(F.desc(count), label)
     )
 
@@ -298,7 +299,7 @@ def top_users(usage, entities, endpoint: str, as_of: str, days: int = 30, n: int
         _requests(usage, entities, endpoint, as_of, days)
         .groupBy("requester", "date")
         .agg(
-            TOTAL.alias("_n"),
+            _total().alias("_n"),
             F.min("request_time").alias("_first"),
             F.max("request_time").alias("_last"),
             F.sum(_tokens()).alias("_tokens"),
@@ -323,7 +324,7 @@ def daily_engagement(usage, entities, endpoint: str, as_of: str, days: int = 30)
     per_user = (
         _requests(usage, entities, endpoint, as_of, days)
         .groupBy("date", "requester")
-        .agg(TOTAL.alias("_n"))
+        .agg(_total().alias("_n"))
     )
     users = F.count("requester")
     return (
@@ -343,9 +344,9 @@ def success_sla(usage, entities, endpoint: str, as_of: str, days: int = 14) -> D
         _requests(usage, entities, endpoint, as_of, days)
         .groupBy("date")
         .agg(
-            TOTAL.alias("total_requests"),
+            _total().alias("total_requests"),
             _ok().alias("successful"),
-            percent(_ok(), TOTAL).alias("success_rate_pct"),
+            percent(_ok(), _total()).alias("success_rate_pct"),
         )
         .orderBy("date")
     )
@@ -358,9 +359,9 @@ def latency_sla(payload, as_of: str, days: int = 14, limit_ms: int = SLA_MS) ->
         _recent_time(payload, as_of, days)
         .groupBy(F.to_date("request_time").alias("date"))
         .agg(
-            TOTAL.alias("total_requests"),
+            _total().alias("total_requests"),
             within.alias("within_sla"),
-            percent(within, TOTAL).alias("sla_compliance_pct"),
+            percent(within, _total()).alias("sla_compliance_pct"),
         )
         .orderBy("date")
     )
@@ -378,9 +379,9 @@ def executive_summary(
     """One row over the whole period."""
     return _requests(usage, entities, endpoint, as_of, days).agg(
         F.lit(f"Last {days} Days").alias("period"),
-        TOTAL.alias("total_requests"),
+        _total().alias("total_requests"),
         F.count_distinct("requester").alias("unique_users"),
-        percent(_ok(), TOTAL).alias("success_rate_pct"),
+        percent(_ok(), _total()).alias("success_rate_pct"),
         F.sum("input_token_count").alias("total_input_tokens"),
         F.sum("output_token_count").alias("total_output_tokens"),
         F.sum(_tokens()).alias("total_tokens"),
@@ -415,7 +416,7 @@ def hourly_volume(usage, entities, endpoint: str, as_of: str, days: int = 7) ->
     per_user = (
         _requests(usage, entities, endpoint, as_of, days)
         .groupBy(F.date_trunc("hour", "request_time").alias("hour"), "requester")
-        .agg(TOTAL.alias("_n"))
+        .agg(_total().alias("_n"))
     )
     return (
         per_user.groupBy("hour")
@@ -429,7 +430,7 @@ def guardrail_events_by_day(events: DataFrame, as_of: str, days: int = 7) -> Dat
     recent = _recent_days(events.withColumnRenamed("timestamp", "request_time"), as_of, days)
     return (
         recent.groupBy(F.to_date("request_time").alias("day"), "guardrail_type")
-        .agg(TOTAL.alias("trigger_count"))
+        .agg(_total().alias("trigger_count"))
         .orderBy("day", F.desc("trigger_count"), "guardrail_type")
     )
 

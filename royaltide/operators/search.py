@@ -254,15 +254,15 @@ def _blocked(
     """
     shards = max(1, -(-items.count() // shard_rows))
     blocks = max(1, -(-queries.count() // MAX_SENT_QUERIES))
-    left = (
-        items.withColumn("_shard", F.pmod(F.xxhash64(id_col), F.lit(shards)))
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
-    )
-    right = (
-        queries.withColumn("_block", F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("bigint"))
-        .withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("bigint"))
-    )
-    left = left.withColumn("_shard", F.col("_shard").cast("bigint"))
+
+    def number(key: str, count: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(count).cast("bigint"))
+
+    def every(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
+
+    left = items.withColumn("_shard", number(id_col, shards)).withColumn("_block", every(blocks))
+    right = queries.withColumn("_block", number(query_id, blocks)).withColumn("_shard", every(shards))
 
     def pair(block_items: pd.DataFrame, block_queries: pd.DataFrame) -> pd.DataFrame:
         if block_items.empty or block_queries.empty:
