@@ -77,6 +77,12 @@ def sql_round(expr: str, digits: int) -> str:
     )
 
 
+def sql_int(sql: str, *columns: str) -> str:
+    """The query with some columns as 32-bit integers."""
+    swaps = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in columns)
+    return f"SELECT * REPLACE ({swaps}) FROM ({sql})"
+
+
 def sql_cents(expr: str) -> str:
     return f"CAST(floor(CAST({expr} AS DOUBLE) * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT)"
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from royaltide.operators import guardrails as G
 from royaltide.operators import monitoring as M
-from royaltide.plans.common import AS_OF_TIME, Catalogue, sql_bucket, sql_round, sql_time
+from royaltide.plans.common import AS_OF_TIME, Catalogue, sql_bucket, sql_round, sql_time, sql_int
 
 CAT = Catalogue()
 
@@ -39,7 +39,7 @@ def _hits_sql(keys, table):
     )
 
 
-@CAT.add("detect_pii", f"SELECT * FROM ({_hits_sql('doc_id', '{documents}')}) WHERE hits > 0")
+@CAT.add("detect_pii", sql_int(f"SELECT * FROM ({_hits_sql('doc_id', '{documents}')}) WHERE hits > 0", "hits"))
 def _(t):
     return G.detect_pii(t.spread("documents"), "text", PATTERNS)
 

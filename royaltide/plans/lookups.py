@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from royaltide.operators import lookups as L
 from royaltide.operators.matching import resolve_terms, top_per_group
-from royaltide.plans.common import AS_OF_DATE, Catalogue, sql_cents, sql_money, sql_round
+from royaltide.plans.common import AS_OF_DATE, Catalogue, sql_cents, sql_money, sql_round, sql_int
 
 CAT = Catalogue()
 
@@ -25,14 +25,14 @@ def songs_with_writers(t):
 
 @CAT.add(
     "top_royalty_songs",
-    f"""WITH sums AS (
+    sql_int(f"""WITH sums AS (
         SELECT song_id, {sql_money("gross_amount")} AS total_gross,
                {sql_money("deductions")} AS total_deductions, {sql_money("net_amount")} AS total_net,
                count(*) AS num_payments, count(DISTINCT songwriter_id) AS num_songwriters
         FROM {{royalty_payments}} GROUP BY song_id)
     SELECT row_number() OVER (ORDER BY total_net DESC, song_id) AS rank, song_id, title, artist_name,
            genre, total_gross, total_deductions, total_net, num_payments, num_songwriters
-    FROM sums JOIN {{songs}} USING (song_id) ORDER BY rank LIMIT 10""",
+    FROM sums JOIN {{songs}} USING (song_id) ORDER BY rank LIMIT 10""", "rank"),
 )
 def _(t):
     return L.get_top_royalty_songs(t.songs, t.royalty_payments)
@@ -40,7 +40,7 @@ def _(t):
 
 @CAT.add(
     "top_royalty_songs_filtered",
-    f"""WITH sums AS (
+    sql_int(f"""WITH sums AS (
         SELECT song_id, {sql_money("gross_amount")} AS total_gross,
                {sql_money("deductions")} AS total_deductions, {sql_money("net_amount")} AS total_net,
                count(*) AS num_payments, count(DISTINCT songwriter_id) AS num_songwriters
@@ -48,7 +48,7 @@ def _(t):
     SELECT row_number() OVER (ORDER BY total_net DESC, song_id) AS rank, song_id, title, artist_name,
            genre, total_gross, total_deductions, total_net, num_payments, num_songwriters
     FROM sums JOIN {{songs}} USING (song_id) WHERE lower(genre) = '{GENRE}'
-    ORDER BY rank LIMIT 50""",
+    ORDER BY rank LIMIT 50""", "rank"),
 )
 def _(t):
     return L.get_top_royalty_songs(t.songs, t.royalty_payments, 80, GENRE, PERIOD)
@@ -240,9 +240,9 @@ def _(t):
 
 @CAT.add(
     "top_per_group",
-    f"""SELECT territory, licensee_name, count(*) AS licenses,
+    sql_int(f"""SELECT territory, licensee_name, count(*) AS licenses,
         row_number() OVER (PARTITION BY territory ORDER BY count(*) DESC, licensee_name) AS rank
-        FROM {{licenses}} GROUP BY territory, licensee_name QUALIFY rank <= 3""",
+        FROM {{licenses}} GROUP BY territory, licensee_name QUALIFY rank <= 3""", "rank"),
 )
 def _(t):
     return top_per_group(

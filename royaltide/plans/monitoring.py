@@ -3,7 +3,7 @@
 from royaltide.functions.columns import TextRule
 from royaltide.operators import guardrails as G
 from royaltide.operators import monitoring as M
-from royaltide.plans.common import AS_OF_TIME, Catalogue, sql_round, sql_time
+from royaltide.plans.common import AS_OF_TIME, Catalogue, sql_round, sql_time, sql_int
 
 CAT = Catalogue()
 END = "agent"
@@ -53,9 +53,9 @@ def _(t):
 
 @CAT.add(
     "hour_weekday",
-    f"""WITH {_served(7)} SELECT extract(hour FROM request_time) AS hour_of_day,
+    sql_int(f"""WITH {_served(7)} SELECT extract(hour FROM request_time) AS hour_of_day,
         extract(dayofweek FROM request_time) + 1 AS day_of_week, count(*) AS request_count
-        FROM served GROUP BY 1, 2""",
+        FROM served GROUP BY 1, 2""", "hour_of_day", "day_of_week"),
 )
 def _(t):
     return M.hour_weekday(*_args(t))

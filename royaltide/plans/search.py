@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from royaltide.operators import search as S
-from royaltide.plans.common import Catalogue, sql_bucket, sql_words
+from royaltide.plans.common import Catalogue, sql_bucket, sql_words, sql_int
 from royaltide.plans.features import _ASSEMBLED, _assembled
 from royaltide.plans.lookups import songs_with_writers
 
@@ -70,11 +70,11 @@ def _queries(t):
 
 @CAT.add(
     "vector_topk",
-    """SELECT q.vec_id AS query_id, i.vec_id, i.label,
+    sql_int("""SELECT q.vec_id AS query_id, i.vec_id, i.label,
         round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])), 9) AS score,
         row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(
             CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])), 9) DESC, i.vec_id) AS rank
-    FROM {embeddings} q, {embeddings} i QUALIFY rank <= 10""",
+    FROM {embeddings} q, {embeddings} i QUALIFY rank <= 10""", "rank"),
 )
 def _(t):
     return S.vector_topk(t.embeddings, _queries(t), 10, columns=["label"])
@@ -82,13 +82,13 @@ def _(t):
 
 @CAT.add(
     "similar_to",
-    """WITH ref AS (SELECT CAST(embedding AS DOUBLE[]) AS r FROM {embeddings} WHERE vec_id = 7),
+    sql_int("""WITH ref AS (SELECT CAST(embedding AS DOUBLE[]) AS r FROM {embeddings} WHERE vec_id = 7),
     scored AS (SELECT vec_id, label,
                       round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT r FROM ref)), 9)
                           AS similarity_score
                FROM {embeddings} WHERE vec_id <> 7)
     SELECT *, row_number() OVER (ORDER BY similarity_score DESC, vec_id) AS rank
-    FROM scored QUALIFY rank <= 10""",
+    FROM scored QUALIFY rank <= 10""", "rank"),
 )
 def _(t):
     return S.similar_to(t.embeddings, F.col("vec_id") == 7, 10, columns=["label"])
