@@ -26,9 +26,21 @@ def _since(as_of: str, days: int) -> Column:
     return F.lit(as_of).cast("timestamp") - F.make_interval(days=F.lit(days))
 
 
-def _scaled(counts: DataFrame, column: str) -> Column:
-    """Min-max scaling to 0..100 over all rows of ``counts``; equal rows give 0."""
-    span = counts.agg(
+def _recent_counts(plays: DataFrame, as_of: str, days: int) -> DataFrame:
+    return (
+        plays.where(F.col("play_timestamp") >= _since(as_of, days))
+        .groupBy("song_id")
+        .agg(F.count(F.lit(1)).alias("play_count_90d"))
+    )
+
+
+def _scaled(recent: DataFrame) -> Column:
+    """Recent plays scaled to 0..100 over all played songs; equal counts give 0.
+
+    The extremes are a scalar subquery that runs once, ahead of the main job.
+    """
+    column = "play_count_90d"
+    span = recent.agg(
         F.struct(F.min(column).alias("low"), F.max(column).alias("high")).alias("span")
     ).scalar()
     low, high = span.getField("low"), span.getField("high")
@@ -38,12 +50,8 @@ def _scaled(counts: DataFrame, column: str) -> Column:
 
 def popularity(plays: DataFrame, songs: DataFrame, as_of: str, days: int = 90) -> DataFrame:
     """Recent plays per song and their 0..100 score; silent songs get 0."""
-    recent = (
-        plays.where(F.col("play_timestamp") >= _since(as_of, days))
-        .groupBy("song_id")
-        .agg(F.count(F.lit(1)).alias("play_count_90d"))
-    )
-    scored = recent.withColumn("song_popularity_score", _scaled(recent, "play_count_90d"))
+    recent = _recent_counts(plays, as_of, days)
+    scored = recent.withColumn("song_popularity_score", _scaled(recent))
     return (
         songs.select("song_id")
         .join(scored, "song_id", "left")
@@ -158,8 +166,9 @@ def song_features(
 ) -> DataFrame:
     """Same table as :func:`assemble_features`, reading the plays once.
 
-    All play features roll up from one (song, territory) count, so the play log
-    is shuffled a single time, already combined on the map side.
+    All play features roll up from one (song, territory) count, so the whole play
+    log is read and shuffled a single time, already combined on the map side.
+    Only the extremes for the score read the recent days (two columns) again.
     """
     recent = F.count_if(F.col("play_timestamp") >= _since(as_of, days))
     cells = plays.groupBy("song_id", "territory").agg(
@@ -177,7 +186,7 @@ def song_features(
     return (
         songs.select("song_id", "title", "artist_name", "genre")
         .join(
-            played.withColumn("song_popularity_score", _scaled(played, "play_count_90d")),
+            played.withColumn("song_popularity_score", _scaled(_recent_counts(plays, as_of, days))),
             "song_id",
             "left",
         )

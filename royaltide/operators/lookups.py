@@ -289,14 +289,21 @@ TOP_SONG_COLUMNS = (
 )
 
 
-def _song_totals(payments: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Payment totals per song; a hot song is first spread over its writers."""
-    per_writer = payments.groupBy(*keys, "song_id", "songwriter_id").agg(
+PARTS = ("_gross", "_ded", "_net", "_n")
+
+
+def _writer_totals(payments: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Payments per song and writer; spreads a hot song over its writers."""
+    return payments.groupBy(*keys, "song_id", "songwriter_id").agg(
         F.sum(cents("gross_amount")).alias("_gross"),
         F.sum(cents("deductions")).alias("_ded"),
         F.sum(cents("net_amount")).alias("_net"),
         F.count(F.lit(1)).alias("_n"),
     )
+
+
+def _song_totals(per_writer: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Payment totals per song from totals per song and writer."""
     return per_writer.groupBy(*keys, "song_id").agg(
         money(F.sum("_gross")).alias("total_gross"),
         money(F.sum("_ded")).alias("total_deductions"),
@@ -322,7 +329,7 @@ def get_top_royalty_songs(
     if not is_absent(filter_period):
         payments = payments.where(F.col("payment_period") == filter_period)
     leaders = (
-        _song_totals(payments)
+        _song_totals(_writer_totals(payments))
         .join(
             songs.where(optional_eq("genre", filter_genre)).select(
                 "song_id", "title", "artist_name", "genre"
@@ -351,8 +358,13 @@ def top_royalty_songs_for(
         scope_of("filter_genre").alias("_genre"),
         scope_of("filter_period", fold=lambda c: c).alias("_period"),
     )
-    scoped = payments.withColumn("_period", _scopes(F.col("payment_period"))).join(
-        asked.select("_period").distinct(), "_period", "left_semi"
+    # Reduced to (period, song, writer) before a row is put in two scopes.
+    cells = _writer_totals(payments, ["payment_period"])
+    scoped = (
+        cells.withColumn("_period", _scopes(F.col("payment_period")))
+        .join(asked.select("_period").distinct(), "_period", "left_semi")
+        .groupBy("_period", "song_id", "songwriter_id")
+        .agg(*[F.sum(c).alias(c) for c in PARTS])
     )
     described = songs.select("song_id", "title", "artist_name", "genre")
     ranked = (

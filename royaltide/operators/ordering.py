@@ -58,8 +58,8 @@ def exact_quantiles(
 
     Repeated values collapse into one weighted row during the map-side combine.
     The ranks come from :func:`running_weight`, so a group is never gathered in
-    one task however many rows or values it has. ``group`` must have few values
-    (metric names, days): their totals are joined back as a small table.
+    one task however many rows or values it has. ``group`` holds names the caller
+    lists (such as feature names), which bounds the broadcast of their totals.
     """
     counts = (
         df.where(F.col(value).isNotNull())
@@ -82,7 +82,7 @@ def exact_quantiles(
         return (first <= F.col(rank)) & (F.col(rank) < last)
 
     hits = (
-        ranked.join(targets, group)
+        ranked.join(F.broadcast(targets), group)
         .where(holds("_low") | holds("_high"))
         .groupBy(group, "quantile", "_position", "_low")
         .agg(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from royaltide.functions.columns import draw_int, parse_partial_date
-from royaltide.operators.ordering import running_weight
+from royaltide.operators.ordering import running_weight, spread_join
 
 # Field names of the incoming records.
 RECORD_SCHEMA = """struct<
@@ -152,11 +152,12 @@ def map_list_to_ids(
     """Replace the names of a list by their ids, in list order, as delimited text.
 
     Names missing from ``dim(id, name)`` are left out; a row whose list has no
-    known name is dropped. ``key`` is unique.
+    known name is dropped. ``key`` is unique. A name that is on very many lists
+    is joined in salted pieces.
     """
     listed = df.select(key, F.posexplode(list_col).alias("_pos", "name"))
     ids = (
-        listed.join(dim.select("id", "name"), "name")
+        spread_join(listed, dim.select("id", "name"), ["name"], [key, "_pos"], how="inner")
         .groupBy(key)
         .agg(F.sort_array(F.collect_list(F.struct("_pos", "id"))).alias("_ids"))
         .select(key, F.array_join(F.col("_ids.id"), delimiter).alias(name))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from royaltide.functions.columns import split_ids
+from royaltide.operators.ordering import spread_join
 
 DIM = 1024
 # Scores are ranked at this many decimals, so that copies of a vector tie
@@ -32,15 +33,14 @@ SCORE_CELLS = 4 << 20
 def attach_writers(songs: DataFrame, writers: DataFrame) -> DataFrame:
     """Names and affiliations of each song's writers, in order of name.
 
-    The songs stay one row each: only ids travel to the writer join, which AQE
-    splits when one writer is credited on very many songs.
+    A writer credited on very many songs is joined in salted pieces.
     """
     names = writers.select(
         F.col("songwriter_id").cast("string").alias("_writer"), "name", "pro_affiliation"
     )
+    listed = songs.select("*", F.explode(split_ids("songwriters")).alias("_writer"))
     credited = (
-        songs.select("*", F.explode(split_ids("songwriters")).alias("_writer"))
-        .join(names, "_writer", "left")
+        spread_join(listed, names, ["_writer"], songs.columns)
         .groupBy(*songs.columns)
         .agg(
             F.sort_array(F.collect_list("name")).alias("_names"),

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import csv
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,23 +39,18 @@ def save_schema(spark: SparkSession, schema_dir: str, version: int, schema: T.St
 def _layouts(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[list[str], list[str]]]:
     """Distinct header layouts and the files that have each.
 
-    Only the first line of each file leaves the scan; what reaches the driver
-    is a file listing, as in any file source.
+    The first line of each file is found by a map-side combine; what reaches the
+    driver is a file listing, as in any file source.
     """
     lines = spark.read.text(paths).select(
-        "value", F.col("_metadata.file_path").alias("path"),
+        "value",
+        F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    found = (
+        lines.where(F.col("at") == 0).groupBy("path").agg(F.min_by("value", "place").alias("header"))
     )
-
-    def first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = None
-        for batch in batches:
-            fresh = (batch["at"] == 0) & (batch["path"] != batch["path"].shift(fill_value=seen or ""))
-            if len(batch):
-                seen = batch["path"].iloc[-1]
-            yield batch.loc[fresh, ["path", "value"]].rename(columns={"value": "header"})
-
-    found = lines.mapInPandas(first_lines, "path string, header string")
     grouped: dict[tuple[str, ...], list[str]] = {}
     for row in found.collect():
         names = tuple(next(csv.reader([row["header"].lstrip("﻿")])))
