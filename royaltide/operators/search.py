@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from royaltide.functions.columns import split_ids
 from royaltide.operators.ordering import spread_join
+from royaltide.operators.records import snapshot_diff
 
 DIM = 1024
 # Scores are ranked at this many decimals, so that copies of a vector tie
@@ -152,6 +153,28 @@ def embed(
     return df.withColumn(name, call(F.col(text_col)))
 
 
+def sync_index(
+    index: DataFrame,
+    source: DataFrame,
+    key: str,
+    cols: Sequence[str],
+    text_col: str,
+    dim: int = DIM,
+    backend: Callable[[pd.Series], Sequence[Sequence[float]]] | None = None,
+    name: str = "embedding",
+) -> DataFrame:
+    """Index brought up to date with a new snapshot of its source.
+
+    ``index`` holds ``key``, ``cols`` and the vectors. Only new and changed rows
+    are embedded; unchanged rows keep their vector and removed rows leave.
+    """
+    columns = [key, *cols]
+    diff = snapshot_diff(index.select(*columns), source.select(*columns), [key], cols)
+    arrived = diff.where(F.col("change") != "delete").select(*columns)
+    kept = index.join(diff.select(key), key, "left_anti")
+    return kept.select(*columns, name).unionByName(embed(arrived, text_col, dim, backend, name))
+
+
 # --- exact top-k -----------------------------------------------------------------
 
 

@@ -62,6 +62,31 @@ def _(t):
     )
 
 
+_SYNCED = f"""
+    WITH fresh AS (SELECT song_id, title || ' ' || genre || ' ' || artist_name AS text FROM {{songs}}
+                   WHERE genre <> 'ECONOMY'),
+    terms AS (SELECT song_id, unnest({sql_words("text")}) AS word FROM fresh),
+    counted AS (SELECT song_id, {sql_bucket("word", DIM)} AS bucket, count(*) AS n FROM terms GROUP BY ALL)
+    SELECT song_id, bucket,
+           round(CAST(n AS DOUBLE) / sqrt(CAST(sum(n * n) OVER (PARTITION BY song_id) AS DOUBLE)), 12) AS weight
+    FROM counted"""
+
+
+@CAT.add("sync_index", _SYNCED)
+def _(t):
+    """An index of titles and genres meets a source that also names the artist and has lost a genre."""
+    old = t.songs.select("song_id", F.concat_ws(" ", "title", "genre").alias("text"))
+    new = t.songs.where("genre <> 'ECONOMY'").select(
+        "song_id", F.concat_ws(" ", "title", "genre", "artist_name").alias("text")
+    )
+    index = S.embed(old, "text", DIM)
+    synced = S.sync_index(index, new, "song_id", ["text"], "text", DIM)
+    tall = synced.select("song_id", F.posexplode("embedding").alias("bucket", "weight"))
+    return tall.where(F.col("weight") > 0).select(
+        "song_id", F.col("bucket").cast("bigint").alias("bucket"), F.round("weight", 12).alias("weight")
+    )
+
+
 def _queries(t):
     return t.embeddings.select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")

@@ -120,3 +120,12 @@ def test_generate_asks_once_per_prompt(spark):
     got = X.generate(df, F.col("t"), backend, spread_by=["id"])
     assert got.count() == 300 and got.where(F.col("generated") != F.upper("t")).count() == 0
     assert not sizes
+
+
+def test_sync_embeds_changed_rows_only(spark):
+    schema = "k int, t string"
+    index = S.embed(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], schema), "t", 16)
+    source = spark.createDataFrame([(1, "a"), (2, "bb"), (4, "d")], schema)
+    marked = S.sync_index(index, source, "k", ["t"], "t", backend=lambda texts: [[9.0]] * len(texts))
+    got = {r["k"]: (r["t"], r["embedding"] == [9.0]) for r in marked.collect()}
+    assert got == {1: ("a", False), 2: ("bb", True), 4: ("d", True)}
