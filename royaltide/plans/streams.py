@@ -75,8 +75,16 @@ def _usage_stream(t):
 
 
 def _drained(t, stream, label):
+    """Run the stream to its end; on a local master one state partition per core is enough."""
     table, offsets = scratch_path(t.spark, label), scratch_path(t.spark, "offsets")
-    I.drain_to_table(stream, table, offsets)
+    context, setting = t.spark.sparkContext, "spark.sql.shuffle.partitions"
+    before = t.spark.conf.get(setting)
+    if context.master.startswith("local"):
+        t.spark.conf.set(setting, str(min(int(before), context.defaultParallelism)))
+    try:
+        I.drain_to_table(stream, table, offsets)
+    finally:
+        t.spark.conf.set(setting, before)
     return t.spark.read.parquet(table)
 
 
