@@ -380,23 +380,23 @@ def _(t):
 
 
 def _snapshots(t):
-    """Two snapshots of the songs: some rows gone, some new, some changed."""
-    old = t.part.where("p_partkey % 11 <> 0").select("p_partkey", "p_name", "p_type", "p_size")
-    new = t.part.where("p_partkey % 13 <> 0").select(
+    """Two snapshots of the parts: a type is gone, a brand is new, some values changed."""
+    old = t.part.where("p_brand <> 'Brand#1'").select("p_partkey", "p_name", "p_type", "p_size")
+    new = t.part.where("p_type <> 'ECONOMY'").select(
         "p_partkey",
         "p_name",
-        F.when(F.col("p_partkey") % 5 != 0, F.col("p_type")).alias("p_type"),
-        (F.col("p_size") + F.when(F.col("p_partkey") % 7 == 0, 1).otherwise(0)).alias("p_size"),
+        F.when(F.col("p_size") > 5, F.col("p_type")).alias("p_type"),
+        (F.col("p_size") + F.when(F.col("p_name").startswith("red"), 1).otherwise(0)).alias("p_size"),
     )
     return old, new
 
 
 @CAT.add(
     "snapshot_diff",
-    """WITH o AS (SELECT p_partkey, p_name, p_type, p_size FROM {part} WHERE p_partkey % 11 <> 0),
-    n AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 5 <> 0 THEN p_type END AS p_type,
-                 p_size + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS p_size
-          FROM {part} WHERE p_partkey % 13 <> 0)
+    """WITH o AS (SELECT p_partkey, p_name, p_type, p_size FROM {part} WHERE p_brand <> 'Brand#1'),
+    n AS (SELECT p_partkey, p_name, CASE WHEN p_size > 5 THEN p_type END AS p_type,
+                 p_size + CASE WHEN starts_with(p_name, 'red') THEN 1 ELSE 0 END AS p_size
+          FROM {part} WHERE p_type <> 'ECONOMY')
     SELECT *, 'insert' AS change FROM n WHERE p_partkey NOT IN (SELECT p_partkey FROM o)
     UNION ALL SELECT *, 'delete' FROM o WHERE p_partkey NOT IN (SELECT p_partkey FROM n)
     UNION ALL SELECT n.*, 'update' FROM n JOIN o USING (p_partkey)
