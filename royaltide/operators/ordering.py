@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -125,9 +126,11 @@ def spread_join(
     )
     hot = F.broadcast(hot)
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    # A NULL key matches nothing, so its rows may go anywhere.
+    keyless = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
     left = (
         facts.join(hot, on, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0)))
+        .withColumn("_salt", F.when(F.col("_hot") | keyless, salt).otherwise(F.lit(0)))
         .drop("_hot")
     )
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(

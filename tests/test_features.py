@@ -87,7 +87,7 @@ def test_running_weight_over_many_slices(spark):
 
 
 def test_spread_join_with_a_hot_key(spark):
-    facts = spark.range(3000).withColumn("k", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")))
+    facts = spark.range(3000).withColumn("k", F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 3 == 1, F.col("id")))
     dims = spark.createDataFrame([(0, "hot"), (1, "one"), (0, "hot2")], "k long, name string")
     joined = spread_join(facts, dims, ["k"], ["id"])
     plain = facts.join(dims, "k", "left")
