@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from royaltide.llm import decontam, pieces, pii, quality, secrets, simhash, toxicity, vectors
+from royaltide.llm import contexttree, decontam, pieces, pii, quality, secrets, simhash, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -89,3 +89,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every embedding."""
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_contexttree")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document."""
+    return contexttree.score(table(spark, sf_dir, "documents"))
