@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from royaltide.llm import contexttree, decontam, pieces, pii, quality, secrets, simhash, toxicity, vectors
+from royaltide.llm import contexttree, decontam, pieces, pii, quality, secrets, simhash, suffixes, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -95,3 +95,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model score of every document."""
     return contexttree.score(table(spark, sf_dir, "documents"))
+
+
+@query("op10_suffixes")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document once repeated byte strings are removed."""
+    found = suffixes.drop_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
