@@ -7,7 +7,7 @@ trained from labelled samples: random strings are drawn from the named alphabets
 identifiers are the other long words of a bounded sample of ``sample_docs`` documents.
 
 Defined cases: null and empty texts have no spans; repeated rows each get a row; without
-ordinary words both models still exist (uniform smoothing). A token that touches a
+ordinary words both models still exist (additive smoothing). A token that touches a
 pattern match is left to the pattern.
 """
 
@@ -50,13 +50,15 @@ def by_start(spans: list[Span]) -> list[Span]:
 
 
 class Markov:
-    """First-order character model with additive smoothing; state 0 is the start."""
+    """First-order character model that backs off to smoothed single characters; state 0 is the start."""
 
-    def __init__(self, words, smooth: float = 0.5) -> None:
-        counts = np.full((len(SIGNS) + 1, len(SIGNS)), smooth)
+    def __init__(self, words, smooth: float = 0.5, back: float = 2.0) -> None:
+        counts = np.zeros((len(SIGNS) + 1, len(SIGNS)))
         for word in words:
             at = codes(word)
             np.add.at(counts, (np.concatenate(([0], at[:-1] + 1)), at), 1)
+        single = counts.sum(0) + smooth
+        counts += back * single / single.sum()
         self.log = np.log(counts / counts.sum(1, keepdims=True))
 
 
