@@ -27,7 +27,6 @@ from royaltide.operators.matching import resolve_terms, top_per_group
 
 EVERY = "*"
 DEFAULT_RESULTS = 10
-MAX_RESULTS = 50
 ADMIN_FEE = 0.15
 
 
@@ -320,12 +319,12 @@ def get_top_royalty_songs(
     filter_genre: str | None = None,
     filter_period: str | None = None,
 ) -> DataFrame:
-    """Songs ranked by total net payments; 10 by default, 50 at most.
+    """Songs ranked by total net payments; 10 by default, as many as asked for.
 
     Payments are reduced per song before they meet the songs, and only the
     first rows of each task travel to the final ranking.
     """
-    limit = DEFAULT_RESULTS if num_results is None else max(0, min(num_results, MAX_RESULTS))
+    limit = DEFAULT_RESULTS if num_results is None else max(0, num_results)
     if not is_absent(filter_period):
         payments = payments.where(F.col("payment_period") == filter_period)
     leaders = (
@@ -348,13 +347,13 @@ def top_royalty_songs_for(
 ) -> DataFrame:
     """``get_top_royalty_songs`` for a table of calls.
 
-    Each distinct (genre, period) pair is ranked once, up to the cap; calls
+    Each distinct (genre, period) pair is ranked once, up to the largest number asked of it; calls
     with different limits share that ranking.
     """
     wanted = F.coalesce(F.col("num_results"), F.lit(DEFAULT_RESULTS))
     asked = requests.select(
         *keys,
-        F.least(wanted, F.lit(MAX_RESULTS)).alias("_limit"),
+        wanted.alias("_limit"),
         scope_of("filter_genre").alias("_genre"),
         scope_of("filter_period", fold=lambda c: c).alias("_period"),
     )
@@ -371,14 +370,14 @@ def top_royalty_songs_for(
         _song_totals(scoped, ["_period"])
         .join(described, "song_id")
         .withColumn("_genre", _scopes(F.lower("genre")))
-        .join(asked.select("_genre", "_period").distinct(), ["_genre", "_period"], "left_semi")
+        .join(asked.groupBy("_genre", "_period").agg(F.max("_limit").alias("_most")), ["_genre", "_period"])
         .withColumn(
             "rank",
             F.row_number().over(
                 W.partitionBy("_genre", "_period").orderBy(F.desc("total_net"), "song_id")
             ),
         )
-        .where(F.col("rank") <= MAX_RESULTS)
+        .where(F.col("rank") <= F.col("_most"))
     )
     return (
         asked.join(ranked, ["_genre", "_period"])

@@ -48,7 +48,7 @@ def _(t):
     SELECT row_number() OVER (ORDER BY total_net DESC, song_id) AS rank, song_id, title, artist_name,
            genre, total_gross, total_deductions, total_net, num_payments, num_songwriters
     FROM sums JOIN {{songs}} USING (song_id) WHERE lower(genre) = '{GENRE}'
-    ORDER BY rank LIMIT 50""", "rank"),
+    ORDER BY rank LIMIT 80""", "rank"),
 )
 def _(t):
     return L.get_top_royalty_songs(t.songs, t.royalty_payments, 80, GENRE, PERIOD)
