@@ -109,25 +109,34 @@ class Transducer:
                 start = i
         return array("i", ids).tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, text: str) -> tuple[np.ndarray, bool]:
+        """Ids of a text, and whether they decode to it.
+
+        Decoding joins what each id stands for, so it is checked chunk by chunk.
+        """
         if not text:
-            return np.empty(0, dtype=np.int32)
-        known, packed = self.known, []
+            return np.empty(0, dtype=np.int32), True
         full = " " + text
-        for chunk in CHUNK.findall(full) if self.at_spaces else [full]:
-            found = known.get(chunk)
-            if found is None:
-                found = self._chunk(chunk)
-                if len(known) >= REMEMBER:
-                    known.clear()
-                if len(chunk) <= 64:
-                    known[chunk] = found
-            packed.append(found)
-        return np.frombuffer(b"".join(packed), dtype=np.int32)
+        chunks = CHUNK.findall(full) if self.at_spaces else [full]
+        found = list(map(self.known.get, chunks))
+        same = True
+        for i, hit in enumerate(found):
+            if hit is None:
+                chunk = chunks[i]
+                hit = found[i] = self.known.get(chunk) or self._chunk(chunk)
+                right = self.spoken(array("i", hit)) == chunk.encode("utf-8", "surrogatepass")
+                same = same and right
+                if right and len(chunk) <= 64:
+                    if len(self.known) >= REMEMBER:
+                        self.known.clear()
+                    self.known[chunk] = hit
+        return np.frombuffer(b"".join(found), dtype=np.int32), same
+
+    def spoken(self, ids) -> bytes:
+        return b"".join(map(self.out.__getitem__, ids))
 
     def decode(self, ids) -> str:
-        raw = b"".join(map(self.out.__getitem__, ids))
-        return raw[1:].decode("utf-8", "surrogatepass")
+        return self.spoken(ids)[1:].decode("utf-8", "surrogatepass")
 
 
 def encode(docs: DataFrame, model_file: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,9 +149,9 @@ def encode(docs: DataFrame, model_file: str = DEFAULT_MODEL, id_col: str = "doc_
         def work(batch):
             ids, same = [], []
             for text in batch.column(1).to_pylist():
-                code = fst.encode(text)
+                code, right = fst.encode(text)
                 ids.append(code)
-                same.append(fst.decode(code.tolist()) == text)
+                same.append(right)
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.empty(0, dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
