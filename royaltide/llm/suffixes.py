@@ -4,8 +4,9 @@ Every string of ``length`` bytes holds an anchor: the ``ANCHOR``-byte window of
 in it. Anchors depend on content alone, so equal strings hold equal anchors at the same
 offset. Around each anchor lies its fragment, the bytes that such strings can reach. Equal
 fragments (128-bit digests) that occur twice are repeated from end to end; anchors with
-several different fragments are dealt to shards of bounded size, where a suffix array and
-permuted common prefixes show which strings start at least twice. An anchor with more than
+several different fragments are dealt to shards of bounded size; what shares a core around the
+anchor with another fragment goes into a suffix array, and permuted common prefixes show
+which strings start at least twice. An anchor with more than
 ``hot`` different fragments would make a shard of its own grow, so the digests of its strings are
 counted by the cluster instead; both ways count the same strings.
 
@@ -16,6 +17,7 @@ rows are copies of each other; ids may be null or repeat.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -43,72 +45,66 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         at = change[nearest[inside]]
         small[inside] = s[at] < s[at + 1]
     leftmost = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    # Substrings from one leftmost S to the next, in order: a mark above every value ends each,
+    # as after the same values an L comes before an S; the last one meets the end of all.
+    raw = (s + 1).astype(">u4").tobytes()
+    begin, stop = (4 * leftmost).tolist(), (4 * (leftmost[1:] + 1)).tolist()
+    pieces = [raw[i:j] + b"\xff\xff\xff\xff" for i, j in zip(begin, stop)]
+    pieces += [raw[i:] + b"\0\0\0\0" for i in begin[-1:]]
+    names = {piece: k for k, piece in enumerate(sorted(set(pieces)))}
+    reduced = np.fromiter(map(names.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+    order = leftmost[np.argsort(reduced) if len(names) == len(pieces) else suffix_array(reduced)]
+
     heads = np.concatenate(([0], np.cumsum(np.bincount(s, minlength=size))))
     values, kinds = s.tolist(), small.tolist()
-
-    def induce(order: np.ndarray) -> list[int]:
-        out = [-1] * n
-        ends = heads[1:].tolist()
-        for i in reversed(order.tolist()):
-            ends[values[i]] -= 1
-            out[ends[values[i]]] = i
-        starts = heads[:-1].tolist()
-        last = values[n - 1]
-        out[starts[last]] = n - 1
-        starts[last] += 1
-        for i in range(n):
-            j = out[i] - 1
-            if j >= 0 and not kinds[j]:
-                c = values[j]
-                out[starts[c]] = j
-                starts[c] += 1
-        ends = heads[1:].tolist()
-        for i in range(n - 1, -1, -1):
-            j = out[i] - 1
-            if j >= 0 and kinds[j]:
-                c = values[j]
-                ends[c] -= 1
-                out[ends[c]] = j
-        return out
-
-    rough = np.array(induce(leftmost))
-    if len(leftmost) < 2:
-        return rough
-    mark = np.zeros(n, dtype=bool)
-    mark[leftmost] = True
-    order = rough[mark[rough]]
-    stop = dict(zip(leftmost.tolist(), [*(leftmost[1:] + 1).tolist(), n + 1]))
-    names, name, before = np.zeros(n, dtype=np.int64), 0, None
-    raw = s.astype(np.int64).tobytes()
-    for i in order.tolist():
-        piece = raw[8 * i:8 * stop[i]] + (b"\xff" if stop[i] > n else b"")
-        if piece != before:
-            name, before = name + 1, piece
-        names[i] = name
-    reduced = names[leftmost]
-    if name == len(leftmost):
-        final = leftmost[np.argsort(reduced)]
-    else:
-        final = leftmost[suffix_array(reduced)]
-    return np.array(induce(final))
-
-
-def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each place in ``sa``: common prefix with the suffix before, up to ``most``, by the permuted array."""
-    n = len(s)
+    out, ends = [0] * n, heads[1:].tolist()
+    for i in reversed(order.tolist()):
+        c = values[i]
+        ends[c] -= 1
+        out[ends[c]] = i
+    starts = heads[:-1].tolist()
+    last = values[n - 1]
+    out[starts[last]] = n - 1
+    starts[last] += 1
+    # The list grows under the scan's eyes; an unset place holds 0, which has nothing before it.
+    for i in out:
+        if i and not kinds[i - 1]:
+            c = values[i - 1]
+            out[starts[c]] = i - 1
+            starts[c] += 1
+    ends = heads[1:].tolist()
+    for i in reversed(out):
+        if i and kinds[i - 1]:
+            c = values[i - 1]
+            ends[c] -= 1
+            out[ends[c]] = i - 1
+    return np.array(out)
+
+
+def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int, run: int = 64) -> np.ndarray:
+    """For each place in ``sa``: common prefix with the suffix before, up to ``most``, by the permuted array.
+
+    In text order the prefix loses one symbol per step while the suffix before moves along over
+    equal symbols, so symbols are compared at the first place of each such run only (runs are
+    cut after ``run``).
+    """
+    n, width = len(s), most + run
     before = np.full(n, -1)
     before[sa[1:]] = sa[:-1]
-    values, phi, plcp, k = s.tolist(), before.tolist(), [0] * n, 0
-    for i in range(n):
-        j = phi[i]
-        if j < 0:
-            k = 0
-            continue
-        while k < most and i + k < n and j + k < n and values[i + k] == values[j + k]:
-            k += 1
-        plcp[i] = k
-        k = max(k - 1, 0)
-    return np.array(plcp)[sa]
+    same = (before[:-1] >= 0) & (s[:-1] == s[np.maximum(before[:-1], 0)])
+    along = np.concatenate(([False], (before[1:] == before[:-1] + 1) & same))
+    place = np.arange(n)
+    since = place - np.maximum.accumulate(np.where(along, 0, place))
+    first = np.flatnonzero(since % run == 0)
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([s, np.full(width, -1)]).astype(np.int32), width)
+    found = np.zeros(len(first), dtype=np.int64)
+    for at in range(0, len(first), 2048):
+        i = first[at:at + 2048]
+        differ = rows[i] != rows[before[i]]
+        found[at:at + 2048] = np.where(differ.any(1), differ.argmax(1), width)
+    found[before[first] < 0] = 0
+    plcp = found[np.cumsum(since % run == 0) - 1] - since % run
+    return np.clip(plcp, 0, most)[sa]
 
 
 def _mix(seed: int) -> tuple[np.ndarray, list[int]]:
@@ -182,6 +178,8 @@ def anchor_table(rows: DataFrame, length: int) -> DataFrame:
 
 def repeated_starts(group: list[tuple[int, int, bytes]], length: int) -> list[list[int]]:
     """For each ``(anchor, offset, fragment)``: the starts of its strings that start in another one too."""
+    if not group:
+        return []
     parts, owner, place = [], [], []
     for i, (_, _, data) in enumerate(group):
         parts += [np.frombuffer(data, dtype=np.uint8).astype(np.int64) + 1, [0]]
@@ -195,6 +193,7 @@ def repeated_starts(group: list[tuple[int, int, bytes]], length: int) -> list[li
     at = place[sa]
     fits = (at + length <= size) & (at <= offset) & (at + length >= offset + ANCHOR)
     hashes = np.array([a for a, _, _ in group])[owner[sa]]
+    fits &= np.bincount(run)[run] > 1
     table = pd.DataFrame({"run": run, "anchor": hashes, "shift": at - offset, "owner": owner[sa], "at": at})[fits]
     twice = table[table.groupby(["run", "anchor", "shift"])["owner"].transform("size") > 1]
     out: list[list[int]] = [[] for _ in group]
@@ -203,6 +202,29 @@ def repeated_starts(group: list[tuple[int, int, bytes]], length: int) -> list[li
     return out
 
 
+def shared_parts(group: list[tuple[int, int, bytes]], length: int, classes: int = 4) -> list[tuple[int, int, int]]:
+    """``(number, low, high)`` of the fragments, and of their bytes, that can hold a string found in another one too.
+
+    Strings are classed by how far they reach to the left of the anchor. All strings of a
+    class hold the same core around it, so equal strings need equal cores.
+    """
+    side = length - ANCHOR
+    step = -(-side // classes)
+    reach = [(c * step, max(0, side - (c + 1) * step)) for c in range(classes)]
+    cores = [
+        [(anchor, c, data[off - left:off + ANCHOR + right])
+         for c, (left, right) in enumerate(reach) if off >= left and off + ANCHOR + right <= len(data)]
+        for anchor, off, data in group
+    ]
+    count = Counter(core for own in cores for core in own)
+    out = []
+    for i, (_, off, data) in enumerate(group):
+        found = [core[1] for core in cores[i] if count[core] > 1]
+        if found:
+            out.append((i, max(0, off - (found[-1] + 1) * step), min(len(data), off + length - found[0] * step)))
+    return out
+
+
 def _ranges(starts: list[int], length: int) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a in sorted(starts):
@@ -241,7 +263,11 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, hot: int = 1000, shar
     table = stored(anchor_table(rows, length), "anchors")
     kinds = stored(table.groupBy("anchor", "frag").agg(
         F.count("*").alias("n"), F.min(F.struct("text_key", "at")).alias("first")), "fragments")
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    # Where every fragment occurs twice, all of them are repeated from end to end already.
+    several = (
+        kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("rarest"))
+        .where("kinds > 1 and rarest = 1").drop("rarest")
+    )
     wanted = kinds.join(several, "anchor").select("anchor", "frag", "first.text_key", "first.at", "kinds")
     cut = stored(fragments(rows, wanted, length), "cut")
     shards = max(1, cut.where(F.col("kinds") <= hot).count() // shard)
@@ -253,8 +279,10 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, hot: int = 1000, shar
         for i, r in enumerate(rows):
             part.append(r)
             if i + 1 == len(rows) or len(part) >= shard and rows[i + 1].anchor != r.anchor:
-                found = repeated_starts([(p.anchor, p.off, p.data) for p in part], length)
-                out += [(p.anchor, p.frag, a, b) for p, starts in zip(part, found) for a, b in _ranges(starts, length)]
+                cut = shared_parts([(p.anchor, p.off, p.data) for p in part], length)
+                found = repeated_starts([(part[i].anchor, part[i].off - low, part[i].data[low:high]) for i, low, high in cut], length)
+                out += [(part[i].anchor, part[i].frag, low + a, low + b)
+                        for (i, low, _), starts in zip(cut, found) for a, b in _ranges(starts, length)]
                 part = []
         return pd.DataFrame(out, columns=["anchor", "frag", "a", "b"])
 
