@@ -18,18 +18,18 @@ def as_col(value: Column | str) -> Column:
 
 
 def cents(value: Column | str) -> Column:
-    """Amount as whole cents, so that sums are exact and independent of order."""
-    return F.floor(as_col(value).cast("double") * 100 + F.lit(0.5))
+    """Amount in cents as an exact decimal, so that sums do not depend on order; not rounded."""
+    return as_col(value).try_cast("decimal(28, 9)") * F.lit(100)
 
 
-def money_sum(value: Column | str) -> Column:
-    """Sum of an amount; exact to the cent, returned as a double."""
-    return F.sum(cents(value)) / F.lit(100)
+def money(total_cents: Column) -> Column:
+    """A sum of cents as an amount, rounded to the cent here and only here."""
+    return F.round(total_cents).cast("double") / F.lit(100)
 
 
-def money(total_cents: Column | str) -> Column:
-    """Cents back to an amount."""
-    return as_col(total_cents) / F.lit(100)
+def money_sum(value: Column | str) -> Column:
+    """Sum of an amount; parts below a cent count, the sum is rounded once."""
+    return money(F.sum(cents(value)))
 
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:

@@ -161,3 +161,13 @@ def test_sql_functions_answer_like_the_library(spark, data):
     assert lateral.count() == 5
     names = {r[0].split(".")[-1] for r in spark.sql("SHOW USER FUNCTIONS").collect()}
     assert "get_catalog_overview" in names or spark.sql("DESCRIBE FUNCTION get_catalog_overview").count() > 0
+
+
+def test_amounts_below_a_cent_are_summed_before_rounding(spark, data):
+    from pyspark.sql import functions as F
+
+    paid = spark.range(1000).select(
+        F.lit("S1").alias("song_id"), F.lit("W1").alias("songwriter_id"), F.lit("2024-Q1").alias("payment_period"),
+        F.lit("completed").alias("payment_status"), *[F.lit(0.004).alias(c) for c in ("gross_amount", "deductions", "net_amount")])
+    top = L.get_top_royalty_songs(data["songs"], paid).first()
+    assert (top["total_gross"], top["total_deductions"], top["total_net"]) == (4.0, 4.0, 4.0)
