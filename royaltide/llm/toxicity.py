@@ -1,10 +1,11 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine with a block-max inverted index.
 
 The examples are a bounded, class-balanced sample of labelled documents (``per_class``
-of each class; training folds only). Terms are the words that the sample's labels
-depend on (z-score of the difference of document frequencies); weights are
-log(1+tf) times IDF. Postings lie in blocks of examples with the largest weight of
-each term in the block, so that a block is scored only while its bound can still reach
+of each class; training folds only). Every word in at least ``least`` examples is a term;
+no term is left out for telling too little. Weights are log(1+tf) times IDF times the squared
+log-odds of the word's document frequencies in the two classes, so that words of one class
+alone count most, however rare they are. Postings lie in blocks of examples with the largest
+weight of each term in the block; blocks are scored only while their bound can still reach
 the k best. Cosine-weighted votes are calibrated by an isotonic fit on leave-one-out
 votes, weighted back to the class sizes.
 
@@ -15,6 +16,7 @@ classes every score is 0; ties between neighbours go to the smaller example numb
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -27,7 +29,7 @@ from royaltide.llm import calibrate
 from royaltide.llm.common import bounded_sample, doc_texts, map_slices, remainder
 
 WORD = re.compile(r"[^\W\d_]+")
-BLOCK = 64
+BLOCK = 256
 
 
 def words_of(text: str) -> Counter:
@@ -39,34 +41,52 @@ class BlockMaxIndex:
 
     def __init__(self, vectors: list[dict[int, float]], n_terms: int) -> None:
         self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
-        lists: list[list[list[tuple[int, float]]]] = [[[] for _ in range(n_terms)] for _ in range(self.blocks)]
-        self.peak = np.zeros((n_terms, self.blocks))
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                lists[i // BLOCK][t].append((i % BLOCK, w))
-                self.peak[t, i // BLOCK] = max(self.peak[t, i // BLOCK], w)
-        self.posts = [
-            [(np.array([i for i, _ in p], dtype=np.int64), np.array([w for _, w in p])) if p else None for p in block]
-            for block in lists
-        ]
+        example = np.repeat(np.arange(self.n, dtype=np.int32), [len(v) for v in vectors])
+        term = np.fromiter((t for v in vectors for t in v), dtype=np.int64, count=len(example))
+        weight = np.fromiter((w for v in vectors for w in v.values()), dtype=float, count=len(example))
+        order = np.argsort(term, kind="stable")
+        self.example, self.weight = example[order], weight[order]
+        # Postings are sorted by term and example, so those of a term in a block lie together.
+        cell = term[order] * self.blocks + self.example // BLOCK
+        self.start = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1)).astype(np.int32)
+        self.peak = np.zeros(n_terms * self.blocks)
+        used = np.flatnonzero(self.start[1:] > self.start[:-1])
+        if len(used):
+            self.peak[used] = np.maximum.reduceat(self.weight, self.start[used])
+        self.peak = self.peak.reshape(n_terms, self.blocks)
+
+    def _similar(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines with the examples of some blocks, zero elsewhere."""
+        cells = (terms[:, None] * self.blocks + blocks).ravel()
+        size = self.start[cells + 1] - self.start[cells]
+        held = np.flatnonzero(size)
+        cells, size = cells[held], size[held]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1]) + np.repeat(self.start[cells] - (ends - size), size)
+        return np.bincount(
+            self.example[at], self.weight[at] * np.repeat(np.repeat(weights, len(blocks))[held], size), minlength=self.n)
 
     def nearest(self, vector: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine, exactly; block bounds only save work."""
         if not vector or not self.n:
             return []
-        terms = np.fromiter(vector, dtype=np.int64)
-        bounds = np.fromiter(vector.values(), dtype=float) @ self.peak[terms]
+        terms = np.fromiter(vector, dtype=np.int64, count=len(vector))
+        weights = np.fromiter(vector.values(), dtype=float, count=len(vector))
+        bounds = weights @ self.peak[terms]
+        order = np.argsort(-bounds, kind="stable")
+        first = 1 + k // BLOCK
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-12:
+        for blocks in (order[:first], order[first:]):
+            floor = -best[-1][0] - 1e-12 if len(best) == k else 0.0
+            blocks = np.sort(blocks[(bounds[blocks] > 0) & (bounds[blocks] >= floor)])
+            if not len(blocks):
                 break
-            sims = np.zeros(BLOCK)
-            for t, w in vector.items():
-                post = self.posts[b][t]
-                if post is not None:
-                    sims[post[0]] += w * post[1]
-            found = [(-s, b * BLOCK + i) for i, s in enumerate(sims.tolist()) if s > 0 and b * BLOCK + i != skip]
-            best = sorted(best + found)[:k]
+            sims = self._similar(terms, weights, blocks)
+            if skip >= 0:
+                sims[skip] = 0
+            top = np.flatnonzero(sims >= np.partition(sims, -k)[-k]) if k < self.n else np.arange(self.n)
+            top = top[np.argsort(-sims[top], kind="stable")[:k]]
+            best = sorted(best + [(-s, i) for s, i in zip(sims[top].tolist(), top.tolist()) if s > 0])[:k]
         return [(-s, i) for s, i in best]
 
 
@@ -74,7 +94,7 @@ class Model:
     """Terms, index, labels and calibration; its size is bounded by the sample."""
 
     def __init__(self, texts: list[str], labels: list[int], sizes: dict[int, int],
-                 k: int = 15, z: float = 4.5, least: int = 5) -> None:
+                 k: int = 15, least: int = 3) -> None:
         self.k, self.labels = k, np.array(labels, dtype=float)
         counts = [words_of(t) for t in texts]
         ones = int(self.labels.sum())
@@ -86,15 +106,14 @@ class Model:
         frequency = [Counter(), Counter()]
         for c, y in zip(counts, labels):
             frequency[y].update(c.keys())
-        idf = []
+        weight = []
         for word in sorted({*frequency[0], *frequency[1]}):
             a, b = frequency[1][word], frequency[0][word]
-            share = (a + b) / n
-            spread = np.sqrt(max(share * (1 - share), 1e-9) * (1 / ones + 1 / zeros))
-            if a + b >= least and abs(a / ones - b / zeros) / spread >= z:
-                self.terms[word] = len(idf)
-                idf.append(np.log((1 + n) / (1 + a + b)) + 1)
-        self.idf = np.array(idf)
+            if a + b >= least:
+                self.terms[word] = len(weight)
+                odds = np.log((a + 0.5) / (ones + 1)) - np.log((b + 0.5) / (zeros + 1))
+                weight.append((np.log((1 + n) / (1 + a + b)) + 1) * odds * odds)
+        self.weight = [float(w) for w in weight]
         vectors = [self.vector(c) for c in counts]
         self.index = BlockMaxIndex(vectors, len(self.terms))
         votes = np.array([self.vote(v, i)[0] for i, v in enumerate(vectors)])
@@ -102,9 +121,9 @@ class Model:
         self.knots = calibrate.isotonic(votes, self.labels, weight)
 
     def vector(self, counts: Counter) -> dict[int, float]:
-        hit = {self.terms[w]: (1 + np.log(c)) for w, c in counts.items() if w in self.terms}
-        hit = {t: tf * self.idf[t] for t, tf in sorted(hit.items())}
-        norm = np.sqrt(sum(w * w for w in hit.values()))
+        hit = {self.terms[w]: 1 + math.log(c) for w, c in counts.items() if w in self.terms}
+        hit = {t: tf * w for t, tf in sorted(hit.items()) if (w := self.weight[t])}
+        norm = math.sqrt(sum(w * w for w in hit.values()))
         return {t: w / norm for t, w in hit.items()} if norm else {}
 
     def vote(self, vector: dict[int, float], skip: int = -1) -> tuple[float, list[tuple[float, int]]]:
@@ -120,7 +139,7 @@ class Model:
         return calibrate.apply(self.knots, np.array([v for v, _ in seen])), [near for _, near in seen]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = 400) -> tuple[Model, list[int]]:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = 1000) -> tuple[Model, list[int]]:
     """Model of at most ``per_class`` labelled documents of each class, and their ids."""
     sample, sizes = bounded_sample(labels, label_col, per_class)
     rows = doc_texts(docs).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).collect()

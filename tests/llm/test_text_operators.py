@@ -6,9 +6,12 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from royaltide.llm import calibrate, contexttree, pieces, pii, quality, secrets, toxicity
 
+from royaltide.llm.common import remainder
+
 from .conftest import ODD
 
 SF = "/root/testdata/sf0.01"
@@ -44,6 +47,29 @@ def test_toxicity_on_held_out_labels(shared):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_held_out_toxic_texts_are_found_in_every_language(shared):
+    docs, labels = (shared.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    model, _ = toxicity.fit(docs, labels)
+    rows = docs.join(labels, "doc_id").where(remainder(F.col("doc_id"), 5) == 0).select("text", "lang", "toxic").collect()
+    found = (model.scores([r["text"] or "" for r in rows])[0] >= 0.5).tolist()
+    recall = {}
+    for lang in ("en", "de", "fr", "es"):
+        recall[lang] = np.mean([p for p, r in zip(found, rows) if r["toxic"] == 1 and r["lang"] == lang])
+    # Spanish has six such texts only.
+    assert min(recall.values()) >= 0.6, recall
+    assert np.mean([p for p, r in zip(found, rows) if r["toxic"] == 0]) < 0.02
+
+
+def test_nearest_examples_are_exact_over_many_blocks():
+    rng = np.random.default_rng(9)
+    vectors = [{int(t): float(rng.random()) for t in np.sort(rng.choice(40, rng.integers(0, 6), replace=False))} for _ in range(1500)]
+    index = toxicity.BlockMaxIndex(vectors, 40)
+    for i in range(60):
+        sims = [sum(w * v.get(t, 0.0) for t, w in vectors[i].items()) for v in vectors]
+        want = [s for s, _ in sorted(((s, -j) for j, s in enumerate(sims) if s > 0 and j != i), reverse=True)[:15]]
+        assert np.allclose([s for s, _ in index.nearest(vectors[i], 15, skip=i)], want)
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(1)
     dense = rng.random((300, 12)) * (rng.random((300, 12)) < 0.3)
