@@ -8,7 +8,7 @@ several different fragments are dealt to shards of bounded size; what shares a c
 anchor with another fragment goes into a suffix array, and permuted common prefixes show
 which strings start at least twice. An anchor with more than
 ``hot`` different fragments would make a shard of its own grow, so the digests of its strings are
-counted by the cluster instead; both ways count the same strings.
+counted by the cluster instead, for each offset of the anchor in the string; both ways count the same strings.
 
 Defined cases: a null text is empty; texts under ``length`` bytes are kept whole; repeated
 rows are copies of each other; ids may be null or repeat.
@@ -295,16 +295,16 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, hot: int = 1000, shar
         for batch in batches:
             for r in batch.to_pylist():
                 low, high = max(0, r["off"] + ANCHOR - length), min(r["off"], len(r["data"]) - length)
-                found = [(r["anchor"], r["frag"], a, a + length, _digest(r["data"][a:a + length])) for a in range(low, high + 1)]
+                found = [(r["anchor"], r["frag"], a, a + length, a - r["off"], _digest(r["data"][a:a + length])) for a in range(low, high + 1)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (
-                        pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()))], names=["anchor", "frag", "a", "b", "string"])
+                        pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["anchor", "frag", "a", "b", "shift", "string"])
 
-    # The same string holds an anchor at one offset only, or at several for all its copies alike.
-    listed = cut.where(F.col("kinds") > hot).mapInArrow(strings, "anchor bigint, frag binary, a int, b int, string binary")
+    # A string may hold an anchor at several offsets, as all its copies do; so copies are counted for each offset.
+    listed = cut.where(F.col("kinds") > hot).mapInArrow(strings, "anchor bigint, frag binary, a int, b int, shift int, string binary")
     listed = stored(listed, "strings")
-    twice = listed.groupBy("anchor", "string").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "string")
-    busy = listed.join(twice, ["anchor", "string"]).select("anchor", "frag", "a", "b")
+    twice = listed.groupBy("anchor", "shift", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    busy = listed.join(twice, ["anchor", "shift", "string"]).select("anchor", "frag", "a", "b")
     side = length - ANCHOR
     start = F.greatest(F.lit(0), F.col("at") - side)
     whole = kinds.where("n > 1").select("anchor", "frag", F.lit(0).alias("a"), F.lit(-1).alias("b"))

@@ -111,6 +111,22 @@ def test_repeats_against_brute_force(make_docs, hot):
             hashlib.sha256(kept).hexdigest(), spans, len(raw) - len(kept))
 
 
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_runs_between_unique_texts_are_no_repeats(make_docs, hot):
+    rng = np.random.default_rng(10)
+    pick = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    texts = [pick(300) + run + pick(300) for run in ("=" * 100, "For " * 30, "-" * 150, "=" * 100, "For " * 30)]
+    shared_text = pick(40) + "=" * 100 + pick(80)
+    texts += [pick(50) + shared_text + pick(50), pick(70) + shared_text + pick(20), pick(90) + "_" * 230 + pick(90)]
+    got = suffixes.drop_repeats(make_docs(list(enumerate(texts))), hot=hot, shard=4).toPandas().set_index("doc_id")
+    seen = Counter(t[i:i + 200] for t in texts for i in range(len(t) - 199))
+    for i, text in enumerate(texts):
+        gone = {k + j for k in range(len(text) - 199) if seen[text[k:k + 200]] > 1 for j in range(200)}
+        kept = "".join(c for k, c in enumerate(text) if k not in gone)
+        assert bytes(got.loc[i, "kept"]).decode() == kept
+    assert got.loc[range(5), "n_removed"].sum() == 0 and (got.loc[[5, 6], "n_removed"] >= 220).all()
+
+
 def test_overlap_against_brute_force(make_docs, shared):
     rng = np.random.default_rng(8)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 4, n)]
