@@ -26,12 +26,7 @@ BINDINGS: dict[str, str] = {
         FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
              JOIN {region} ON n_regionkey = r_regionkey""",
     "song_writers": """
-        SELECT song_id, songwriter_id FROM (
-            SELECT song_id, songwriter_id,
-                   row_number() OVER (PARTITION BY song_id ORDER BY songwriter_id) AS pos
-            FROM (SELECT DISTINCT l_partkey AS song_id, l_suppkey AS songwriter_id
-                  FROM {lineitem}) AS pairs) AS numbered
-        WHERE pos <= 4""",
+        SELECT DISTINCT l_partkey AS song_id, l_suppkey AS songwriter_id FROM {lineitem}""",
     "royalty_payments": """
         SELECT song_id, songwriter_id, payment_period, payment_status,
                CAST(gross_c AS DOUBLE) / 100 AS gross_amount,

@@ -112,13 +112,17 @@ def royalty_splits(
         "pro_affiliation",
         F.col("split_percentage").alias("_raw"),
     )
-    whole = F.sum("_raw").over(W.partitionBy(*keys))
-    share = F.try_divide(F.col("_raw"), whole)
+    # Decimals: with dozens of writers the order of a double sum reaches the rounded share.
+    exact = F.col("_raw").try_cast("decimal(18, 9)")
+    whole = F.sum(exact).over(W.partitionBy(*keys))
+    share = F.try_divide(F.col("_raw"), whole.cast("double"))
+    in_percent = F.try_divide(exact * F.lit(100), whole)
     amount = F.col("gross_amount") * F.col("_share")
     extra = [k for k in keys if k not in ("song_id", "gross_amount")]
     return (
         listed.join(known, "songwriter_id", "left")
         .withColumn("_share", share)
+        .withColumn("_percent", in_percent)
         .select(
             *extra,
             "song_id",
@@ -126,7 +130,7 @@ def royalty_splits(
             "songwriter_id",
             "songwriter_name",
             "pro_affiliation",
-            F.round(F.col("_share") * 100, 2).alias("split_percentage"),
+            F.round("_percent", 2).cast("double").alias("split_percentage"),
             F.round(amount, 2).alias("gross_share"),
             F.round(amount * fee, 2).alias("estimated_deductions"),
             F.round(amount * (1 - fee), 2).alias("net_share"),

@@ -2,6 +2,7 @@ import datetime
 
 import pytest
 
+from royaltide.bindings import bind
 from royaltide.operators import evaluation as E
 from royaltide.operators import lookups as L
 from royaltide.operators.matching import resolve_terms
@@ -171,3 +172,20 @@ def test_amounts_below_a_cent_are_summed_before_rounding(spark, data):
         F.lit("completed").alias("payment_status"), *[F.lit(0.004).alias(c) for c in ("gross_amount", "deductions", "net_amount")])
     top = L.get_top_royalty_songs(data["songs"], paid).first()
     assert (top["total_gross"], top["total_deductions"], top["total_net"]) == (4.0, 4.0, 4.0)
+
+
+def test_every_writer_of_a_song_is_credited(spark):
+    pairs = bind(spark, "/root/testdata/sf0.001", "lineitem").select("l_partkey", "l_suppkey").distinct()
+    credits = bind(spark, "/root/testdata/sf0.001", "song_writers")
+    assert rows(credits) == rows(pairs) and credits.groupBy("song_id").count().where("count > 4").count() > 0
+
+
+def test_shares_of_many_writers_do_not_depend_on_order(spark):
+    parts = [0.27, *[0.1] * 7, *[0.7] * 9, 0.43, 0.3]
+    writers = spark.createDataFrame(
+        [(f"W{i}", f"N{i}", "P", p) for i, p in enumerate(parts)],
+        "songwriter_id string, name string, pro_affiliation string, split_percentage double")
+    songs = spark.createDataFrame(
+        [("S", "T", ",".join(f"W{i}" for i in range(len(parts))))], "song_id string, title string, songwriters string")
+    got = {r["songwriter_id"]: r["split_percentage"] for r in L.calculate_royalty_split(songs, writers, "S", 100.0).collect()}
+    assert got["W0"] == 3.38
