@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from royaltide.llm import contexttree, decontam, pieces, pii, quality, secrets, simhash, suffixes, toxicity, vectors
+from royaltide.llm import (
+    contexttree, conversations, decontam, graph, negatives, pieces, pii, quality, secrets, simhash, suffixes, toxicity, vectors,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -102,3 +105,48 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document once repeated byte strings are removed."""
     found = suffixes.drop_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op11_neighbours")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors of every 20th embedding."""
+    return graph.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_conversations")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    found = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(found), found.select("conv_id"))
+
+
+_HARD_NEGATIVES = """
+WITH part AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS c
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), score AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id,
+         CAST(list_sum([z[1] * z[2] FOR z IN list_zip(a.c, b.c)]) AS BIGINT) AS score
+  FROM part a JOIN part b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.c) = len(b.c)
+), positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM score WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN score USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+@query("op13_negatives", _HARD_NEGATIVES)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th embedding."""
+    rows = negatives.prepare(table(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("id") % 50 == 0)
