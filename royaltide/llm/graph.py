@@ -269,9 +269,14 @@ def _round(lists: DataFrame, coded: DataFrame, degree: int, blocks: int) -> Data
     return _merge(known.union(found), degree)
 
 
-def build(coded: DataFrame, n: int, degree: int, cell: int, first: int, least: float, rounds: int, block_rows: int) -> DataFrame:
-    """Neighbour lists of all nodes, descended until less than ``least`` of their entries change."""
-    blocks = max(coded.sparkSession.sparkContext.defaultParallelism, -(-n // block_rows))
+def build(coded: DataFrame, n: int, degree: int, cell: int, first: int, least: float, rounds: int, block_bytes: int) -> DataFrame:
+    """Neighbour lists of all nodes, descended until less than ``least`` of their entries change.
+
+    A block has as many nodes as keeps the vectors that they can name below ``block_bytes``: the fewer
+    blocks, the fewer lists does a node get in a round.
+    """
+    size = coded.agg(F.max(F.length("code"))).first()[0] or 1
+    blocks = max(coded.sparkSession.sparkContext.defaultParallelism, -(-n * 2 * degree * size // block_bytes))
     lists = stored(_first_lists(coded, n, cell, first, degree), "graph-lists")
     for _ in range(rounds if n > cell else 0):
         lists = stored(_round(lists, coded, degree, blocks), "graph-lists")
@@ -349,7 +354,7 @@ def search(starts: DataFrame, lists: DataFrame, coded: DataFrame, beam: int, rou
 def nearest(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", step: int = 20, k: int = 20,
     degree: int = 48, beam: int = 96, tables: int = 16, cell: int = 512, first: int = 12, least: float = 0.01,
-    rounds: int = 12, search_rounds: int = 30, block_rows: int = 4_096, seed: int = 37,
+    rounds: int = 12, search_rounds: int = 30, block_bytes: int = 128 << 20, block_queries: int = 4_096, seed: int = 37,
 ) -> DataFrame:
     """The ``k`` nearest rows found for every row whose id ``step`` divides."""
     rows = pick(vectors, vec_id=id_col, vector=vector_col)
@@ -360,12 +365,12 @@ def nearest(
         & F.exists("vector", lambda x: x != 0))
     rows = stored(rows.where(sound).withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0))), "graph-rows")
     classes, coded, n = _nodes(rows, tables, cell, seed)
-    lists = build(coded, n, degree, cell, first, least, rounds, block_rows)
+    lists = build(coded, n, degree, cell, first, least, rounds, block_bytes)
     placed = stored(rows.join(classes, "vector").select("vec_id", "node"), "graph-members")
     by_id = W.partitionBy("node").orderBy("vec_id")
     members = placed.distinct().withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= k + 1).drop("place")
     queries = placed.where(F.col("vec_id") % step == 0).select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")).distinct()
-    beams = search(queries.select("q").distinct(), lists, coded, beam, search_rounds, block_rows)
+    beams = search(queries.select("q").distinct(), lists, coded, beam, search_rounds, block_queries)
     near = beams.select("q", F.explode(F.slice("ids", 1, k + 12)).alias("node"))
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, p: s + p)
     scored = (

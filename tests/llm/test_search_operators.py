@@ -217,7 +217,7 @@ def test_graph_search_finds_most_neighbours(shared):
     x[1200:1500] = x[0] + rng.normal(size=(300, 24)) * 0.01
     x[1600:] = x[1]
     frame = shared.createDataFrame([(i, v.tolist(), "n", 1) for i, v in enumerate(x)], VECTORS)
-    got = neighbours(frame, degree=24, beam=64, cell=64, tables=8, block_rows=300)
+    got = neighbours(frame, degree=24, beam=64, cell=64, tables=8, block_bytes=1 << 20)
     score = x[::20] @ x.T
     score[np.arange(len(score)), np.arange(0, len(x), 20)] = -np.inf
     least = -np.sort(-score, axis=1)[:, 19]
