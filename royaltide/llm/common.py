@@ -6,6 +6,7 @@ import hashlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,6 +98,35 @@ def gather_slices(
     return df.mapInArrow(run, struct)
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of about ``rows`` rows of a sorted partition that end between groups, and the first row of each group."""
+    held: list[pa.Table] = []
+    count = 0
+
+    def starts(table: pa.Table) -> np.ndarray:
+        change = np.zeros(max(table.num_rows - 1, 0), dtype=bool)
+        for key in keys:
+            column = table.column(key)
+            change |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy()
+        return np.r_[0, np.flatnonzero(change) + 1]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        count += batch.num_rows
+        if count >= rows:
+            table = pa.concat_tables(held).combine_chunks()
+            edges = starts(table)
+            held = [table.slice(int(edges[-1]))]
+            count = held[0].num_rows
+            if len(edges) > 1:
+                yield table.slice(0, int(edges[-1])), edges[:-1]
+    if count:
+        table = pa.concat_tables(held).combine_chunks()
+        yield table, starts(table)
+
+
 def sha256(data: str | bytes) -> str:
     return hashlib.sha256(data.encode() if isinstance(data, str) else data).hexdigest()
 

@@ -3,8 +3,8 @@
 Equal vectors of a label become one class with a size. Each class is hashed in
 ``tables`` tables by ``width``-quantised random projections of its unit vector. Buckets
 with one class are dropped before any vector moves; others are cut into
-chunks of about ``chunk`` classes, and every pair of chunks is one task, compared in
-matrix blocks. A pair counts in the first table that it shares, so a task emits
+chunks of about ``chunk`` classes, and every pair of chunks is one group. A task walks its sorted
+partition: small buckets are multiplied many at a time, large ones in matrix blocks. A pair counts in the first table that it shares, so a task emits
 one count per class and the edges of a spanning forest, never all pairs.
 
 Defined cases: null, empty, zero or non-finite vectors, null labels and null ids link with
@@ -16,12 +16,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from royaltide.llm.common import pick, stored
+from royaltide.llm.common import pick, stored, whole_groups
 from royaltide.llm.components import connected_components
 
+#: Buckets of up to so many classes are compared many at a time.
+SMALL = 64
+
 
 def signatures(unit: np.ndarray, tables: int, hashes: int, width: float, seed: int) -> np.ndarray:
     """One 64-bit bucket number per row and table."""
@@ -63,39 +67,108 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _compare(least: float, block: int = 512):
-    def work(key, group: pd.DataFrame) -> pd.DataFrame:
-        table, low, high = key[2], key[4], key[5]
-        first = group[group["part"] == low]
-        second = first if low == high else group[group["part"] == high]
-        if not len(first) or not len(second):
-            return pd.DataFrame({"a": [], "b": [], "links": []}).astype("int64")
-        (xa, xb), (sa, sb) = ([unit_rows(g["vector"]) for g in (first, second)],
-                              [np.stack(g["signs"])[:, :table] for g in (first, second)])
-        ids_a, ids_b = first["cls"].to_numpy(), second["cls"].to_numpy()
-        size_a, size_b = first["size"].to_numpy(), second["size"].to_numpy()
-        count_a, count_b = np.zeros(len(ids_a), dtype=np.int64), np.zeros(len(ids_b), dtype=np.int64)
-        edges: list[tuple[int, int]] = []
-        for at in range(0, len(ids_a), block):
-            near = xa[at:at + block] @ xb.T >= least
-            if low == high:
-                near &= np.arange(at, at + len(near))[:, None] < np.arange(len(ids_b))
+def _lists(table: pa.Table, name: str) -> np.ndarray:
+    column = table.column(name).combine_chunks()
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+class _Rows:
+    """Some rows of a partition, all of one length, with what a comparison needs."""
+
+    def __init__(self, table: pa.Table, least: float):
+        x = _lists(table, "vector")
+        x = x / np.abs(x).max(1, keepdims=True)
+        self.x = x / np.sqrt((x * x).sum(1, keepdims=True))
+        self.signs, self.least = _lists(table, "signs"), least
+        self.ids, self.size, self.table, self.part, self.low, self.high = (
+            table.column(c).to_numpy() for c in ("cls", "size", "tab", "part", "low", "high"))
+        self.count = np.zeros(len(x), dtype=np.int64)
+        self.edges: list[np.ndarray] = []
+
+    def first_meeting(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the pairs share no bucket of a table before theirs."""
+        earlier = np.arange(self.signs.shape[1]) < self.table[a][:, None]
+        return ~((self.signs[a] == self.signs[b]) & earlier).any(1)
+
+    def small(self, start: np.ndarray, size: np.ndarray, cells: int = 1 << 21) -> None:
+        """Many groups of at most SMALL rows, padded to one width and multiplied together."""
+        for width in (2, 4, 8, 16, 32, SMALL):
+            these = (size <= width) & (size > width // 2)
+            step = max(1, cells // (width * max(width, self.x.shape[1])))
+            for at in range(0, int(these.sum()), step):
+                first, n = start[these][at:at + step], size[these][at:at + step]
+                place = np.arange(width)
+                there = place < n[:, None]
+                row = np.where(there, first[:, None] + place, 0)
+                block = self.x[row]
+                near = np.matmul(block, block.transpose(0, 2, 1)) >= self.least
+                near &= there[:, :, None] & there[:, None, :] & np.triu(np.ones((width, width), dtype=bool), 1)
+                g, i, j = np.nonzero(near)
+                if len(g):
+                    self.link(row[g, i], row[g, j])
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Count the pairs, and connect each row with the first row that its pairs reach."""
+        new = self.first_meeting(a, b)
+        a, b = a[new], b[new]
+        np.add.at(self.count, a, self.size[b])
+        np.add.at(self.count, b, self.size[a])
+        root = np.arange(len(self.x))
+        while True:
+            low = np.minimum(root[a], root[b])
+            before = root.copy()
+            np.minimum.at(root, a, low)
+            np.minimum.at(root, b, low)
+            if (before == root).all():
+                break
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        self.edges.append(np.c_[moved, root[moved]])
+
+    def large(self, start: int, stop: int, block: int = 512) -> None:
+        """One bucket, or two chunks of one, in matrix blocks."""
+        parts, same = self.part[start:stop], self.low[start] == self.high[start]
+        first, second = start + np.flatnonzero(parts == self.low[start]), start + np.flatnonzero(parts == self.high[start])
+        for at in range(0, len(first), block):
+            rows = first[at:at + block]
+            near = self.x[rows] @ self.x[second].T >= self.least
+            if same:
+                near &= np.arange(at, at + len(near))[:, None] < np.arange(len(second))
             i, j = np.nonzero(near)
-            if table and len(i):
-                for k in range(0, len(i), 1 << 18):
-                    p, r = i[k:k + (1 << 18)], j[k:k + (1 << 18)]
-                    again = (sa[at + p] == sb[r]).any(1)
-                    near[p[again], r[again]] = False
-            count_a[at:at + block] += near @ size_b
-            count_b += size_a[at:at + block] @ near
-            edges += [(int(ids_a[at + x]), int(ids_b[y])) for x, y in forest(near)]
-        out = pd.concat([
-            pd.DataFrame({"a": ids_a, "b": ids_a, "links": count_a}), pd.DataFrame({"a": ids_b, "b": ids_b, "links": count_b}),
-            pd.DataFrame(edges, columns=["a", "b"], dtype="int64").assign(links=0),
-        ])
-        return out[(out["links"] > 0) | (out["a"] != out["b"])].astype("int64")
-
-    return work
+            for k in range(0, len(i), 1 << 18):
+                p, r = i[k:k + (1 << 18)], j[k:k + (1 << 18)]
+                again = ~self.first_meeting(rows[p], second[r])
+                near[p[again], r[again]] = False
+            self.count[rows] += near @ self.size[second]
+            self.count[second] += self.size[rows] @ near
+            found = np.array(forest(near), dtype=np.int64).reshape(-1, 2)
+            self.edges.append(np.c_[rows[found[:, 0]], second[found[:, 1]]])
+
+    def out(self) -> pa.RecordBatch:
+        counted = np.flatnonzero(self.count)
+        edges = np.concatenate([np.zeros((0, 2), dtype=np.int64), *self.edges])
+        a = np.r_[self.ids[counted], self.ids[edges[:, 0]]]
+        b = np.r_[self.ids[counted], self.ids[edges[:, 1]]]
+        links = np.r_[self.count[counted], np.zeros(len(edges), dtype=np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in (a, b, links)], names=["a", "b", "links"])
+
+
+def _compare(least: float, keys: list[str]):
+    def run(batches):
+        for table, start in whole_groups(batches, keys, 16_384):
+            size = np.diff(np.r_[start, table.num_rows])
+            dims = table.column("dim").to_numpy()[start]
+            for dim in np.unique(dims).tolist():
+                mine = np.repeat(dims == dim, size)
+                rows = _Rows(table.filter(pa.array(mine)).combine_chunks(), least)
+                n = size[dims == dim]
+                at = np.cumsum(n) - n
+                few = (rows.low[at] == rows.high[at]) & (n <= SMALL)
+                rows.small(at[few], n[few])
+                for begin, count in zip(at[~few].tolist(), n[~few].tolist()):
+                    rows.large(begin, begin + count)
+                yield rows.out()
+
+    return run
 
 
 def near_duplicates(
@@ -135,8 +208,10 @@ def near_duplicates(
     paired = placed.select(*key, "cls", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     paired = paired.select(*key, "cls", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
     fetched = paired.join(signed.select("cls", "vector", "size", "signs"), "cls")
+    group = [*key, "low", "high"]
     found = stored(
-        fetched.groupBy(*key, "low", "high").applyInPandas(_compare(least), "a bigint, b bigint, links bigint"), "vector-links")
+        fetched.repartition(*group).sortWithinPartitions(*group).mapInArrow(_compare(least, group), "a bigint, b bigint, links bigint"),
+        "vector-links")
     counts = found.where("a = b").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("others"))
     joined = connected_components(found.where("a <> b").select("a", "b").distinct())
     named = (
