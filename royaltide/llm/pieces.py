@@ -17,6 +17,7 @@ U+2581 in a text is written in byte pieces, so decoding restores it.
 from __future__ import annotations
 
 import re
+import uuid
 from array import array
 
 import numpy as np
@@ -46,7 +47,13 @@ def load_pieces(model_file: str = DEFAULT_MODEL) -> list[tuple[str, float, str]]
 class Transducer:
     def __init__(self, pieces: list[tuple[str, float, str]]) -> None:
         self.final = {p: (-s, i) for i, (p, s, kind) in enumerate(pieces) if kind == "piece"}
-        self.states = {p[:n] for p in self.final for n in range(1, len(p) + 1)}
+        # Piece trie: a state maps the next character to a state, and "" to the arc of a piece that ends there.
+        self.trie: dict = {}
+        for piece, arc in self.final.items():
+            state = self.trie
+            for sign in piece:
+                state = state.setdefault(sign, {})
+            state[""] = arc
         self.pairs = {p[i:i + 2] for p in self.final for i in range(len(p) - 1)}
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == "byte"}
         if len(self.bytes) < 256:
@@ -63,20 +70,21 @@ class Transducer:
 
     def shortest(self, text: str) -> list[int]:
         """Ids of the cheapest path through one run of normalised characters."""
-        n = len(text)
+        n, trie, by_bytes = len(text), self.trie, self.by_bytes
         cost, back = [0.0] + [float("inf")] * n, [(0, ())] * (n + 1)
         for i in range(n):
-            for j in range(i + 1, n + 1):
-                piece = text[i:j]
-                if piece not in self.states:
+            here, state = cost[i], trie
+            for j in range(i, n):
+                state = state.get(text[j])
+                if state is None:
                     break
-                arc = self.final.get(piece)
-                if arc is not None and cost[i] + arc[0] < cost[j]:
-                    cost[j], back[j] = cost[i] + arc[0], (i, (arc[1],))
-            raw = text[i].encode("utf-8", "surrogatepass")
-            if cost[i] + self.by_bytes * len(raw) < cost[i + 1]:
-                cost[i + 1] = cost[i] + self.by_bytes * len(raw)
-                back[i + 1] = (i, tuple(self.spell(text[i])))
+                arc = state.get("")
+                if arc is not None and here + arc[0] < cost[j + 1]:
+                    cost[j + 1], back[j + 1] = here + arc[0], (i, (arc[1],))
+            if here + by_bytes < cost[i + 1]:
+                raw = text[i].encode("utf-8", "surrogatepass")
+                if here + by_bytes * len(raw) < cost[i + 1]:
+                    cost[i + 1], back[i + 1] = here + by_bytes * len(raw), (i, tuple(self.spell(text[i])))
         out: list[int] = []
         while n:
             n, ids = back[n]
@@ -139,12 +147,23 @@ class Transducer:
         return self.spoken(ids)[1:].decode("utf-8", "surrogatepass")
 
 
+#: The transducer of the last vocabulary, kept with what it remembers as long as the worker lives.
+_OPEN: dict[str, Transducer] = {}
+
+
+def _opened(key: str, shared) -> Transducer:
+    if key not in _OPEN:
+        _OPEN.clear()
+        _OPEN[key] = Transducer(shared.value)
+    return _OPEN[key]
+
+
 def encode(docs: DataFrame, model_file: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids, round_trip`` for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(load_pieces(model_file))
+    shared, key = docs.sparkSession.sparkContext.broadcast(load_pieces(model_file)), uuid.uuid4().hex
 
     def make():
-        fst = Transducer(shared.value)
+        fst = _opened(key, shared)
 
         def work(batch):
             ids, same = [], []
@@ -164,10 +183,10 @@ def encode(docs: DataFrame, model_file: str = DEFAULT_MODEL, id_col: str = "doc_
 
 def decode(codes: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFrame:
     """``doc_id, text`` from ``doc_id, ids``; null ids are an empty text."""
-    shared = codes.sparkSession.sparkContext.broadcast(load_pieces(model_file))
+    shared, key = codes.sparkSession.sparkContext.broadcast(load_pieces(model_file)), uuid.uuid4().hex
 
     def run(batches):
-        fst = Transducer(shared.value)
+        fst = _opened(key, shared)
         for batch in batches:
             texts = [fst.decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
