@@ -2,16 +2,20 @@
 
 Every string of ``length`` bytes holds an anchor: the ``ANCHOR``-byte window of smallest hash
 in it. Anchors depend on content alone, so equal strings hold equal anchors at the same
-offset. Around each anchor lies its fragment, the bytes that such strings can reach. Equal
-fragments (128-bit digests) that occur twice are repeated from end to end; anchors with
+offset. Anchors seen once, counted by hash, cannot carry a repeat and are dropped before anything else is
+kept of them. The fragment of an anchor is what the strings that it stands for reach. Equal
+fragments that occur twice are repeated from end to end; anchors with
 several different fragments are dealt to shards of bounded size; what shares a core around the
 anchor with another fragment goes into a suffix array, and permuted common prefixes show
 which strings start at least twice. An anchor with more than
 ``hot`` different fragments would make a shard of its own grow, so the digests of its strings are
 counted by the cluster instead, for each offset of the anchor in the string; both ways count the same strings.
 
+Texts are named by a 64-bit digest and their size, fragments by anchor and a 64-bit digest; strings of busy
+anchors by 128 bits. Texts are read in pieces of ``PIECE`` bytes, so a very long one needs no more memory.
+
 Defined cases: a null text is empty; texts under ``length`` bytes are kept whole; repeated
-rows are copies of each other; ids may be null or repeat.
+rows are copies of each other; ids may be null or repeat; empty tables give empty results; only id and text are read.
 """
 
 from __future__ import annotations
@@ -20,14 +24,14 @@ import hashlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from royaltide.llm.common import doc_texts, map_slices, stored
+from royaltide.llm.common import arrow_schema, doc_texts, map_slices, stored
 
 LENGTH, ANCHOR = 200, 64
+PIECE = 1 << 20
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -38,26 +42,65 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     size = int(s.max()) + 1
     # A suffix is smaller (S) if its next different number is larger; the last suffix is L.
     change = np.flatnonzero(s[:-1] != s[1:])
-    small = np.zeros(n, dtype=bool)
-    if len(change):
-        nearest = np.searchsorted(change, np.arange(n))
-        inside = nearest < len(change)
-        at = change[nearest[inside]]
-        small[inside] = s[at] < s[at + 1]
+    rises = np.append(s[change] < s[change + 1], False)
+    small = np.repeat(rises, np.diff(np.concatenate(([-1], change, [n - 1]))))
     leftmost = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    # Substrings from one leftmost S to the next, in order: a mark above every value ends each,
-    # as after the same values an L comes before an S; the last one meets the end of all.
+    heads = np.concatenate(([0], np.cumsum(np.bincount(s, minlength=size))))
+    if n > 64 * size:
+        induce, (order, reduced) = _induce_buckets, _names_by_inducing(s, small, leftmost, heads)
+    else:
+        induce, (order, reduced) = _induce_symbols, _names_by_sorting(s, leftmost)
+    if order is None:
+        order = leftmost[suffix_array(reduced)]
+    return induce(s, small, order, heads)
+
+
+def _names_by_sorting(s: np.ndarray, leftmost: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
+    """Order of the leftmost small suffixes if their substrings differ, and the rank of each substring.
+
+    A substring goes from one leftmost S to the next: a mark above every value ends each, as after the
+    same values an L comes before an S; the last one meets the end of all.
+    """
     raw = (s + 1).astype(">u4").tobytes()
     begin, stop = (4 * leftmost).tolist(), (4 * (leftmost[1:] + 1)).tolist()
     pieces = [raw[i:j] + b"\xff\xff\xff\xff" for i, j in zip(begin, stop)]
     pieces += [raw[i:] + b"\0\0\0\0" for i in begin[-1:]]
     names = {piece: k for k, piece in enumerate(sorted(set(pieces)))}
     reduced = np.fromiter(map(names.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-    order = leftmost[np.argsort(reduced) if len(names) == len(pieces) else suffix_array(reduced)]
-
-    heads = np.concatenate(([0], np.cumsum(np.bincount(s, minlength=size))))
-    values, kinds = s.tolist(), small.tolist()
-    out, ends = [0] * n, heads[1:].tolist()
+    return (leftmost[np.argsort(reduced)] if len(names) == len(pieces) else None), reduced
+
+
+def _names_by_inducing(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
+    """The same for a long input of few symbols: inducing from the unsorted ones sorts the substrings."""
+    if not len(leftmost):
+        return leftmost, leftmost
+    number = np.full(len(s), -1)
+    number[leftmost] = np.arange(len(leftmost))
+    found = _induce_buckets(s, small, leftmost[np.argsort(s[leftmost], kind="stable")], heads)
+    ranked = number[found]
+    ranked = ranked[ranked >= 0]
+    # Substrings reach up to the next leftmost S; the last one is like no other.
+    size = np.append(np.diff(leftmost) + 1, 0)[ranked]
+    at = leftmost[ranked]
+    same = np.concatenate(([False], (size[1:] == size[:-1]) & (size[1:] > 0)))
+    k, open_ = 0, np.flatnonzero(same)
+    while len(open_):
+        differ = s[at[open_] + k] != s[at[open_ - 1] + k]
+        same[open_[differ]] = False
+        k += 1
+        open_ = open_[~differ]
+        open_ = open_[size[open_] > k]
+    names = np.cumsum(~same) - 1
+    reduced = np.empty(len(leftmost), dtype=np.int64)
+    reduced[ranked] = names
+    return (at if names[-1] + 1 == len(leftmost) else None), reduced
+
+
+def _induce_symbols(s: np.ndarray, small: np.ndarray, order: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Order of all suffixes from that of the leftmost small ones, symbol by symbol."""
+    n = len(s)
+    values = s.tolist()
+    out, ends = [n] * n, heads[1:].tolist()
     for i in reversed(order.tolist()):
         c = values[i]
         ends[c] -= 1
@@ -66,21 +109,76 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     last = values[n - 1]
     out[starts[last]] = n - 1
     starts[last] += 1
-    # The list grows under the scan's eyes; an unset place holds 0, which has nothing before it.
+    # What stands before each place, if of the kind that is induced; an unset place holds n, which has nothing.
+    place = np.arange(-1, n - 1)
+    before = np.append(np.where(small[place], -1, place), -1)
+    before[0] = -1
+    before = before.tolist()
+    # The list grows under the scan's eyes.
     for i in out:
-        if i and not kinds[i - 1]:
-            c = values[i - 1]
-            out[starts[c]] = i - 1
+        j = before[i]
+        if j >= 0:
+            c = values[j]
+            out[starts[c]] = j
             starts[c] += 1
+    before = np.where(small[place], place, -1)
+    before[0] = -1
+    before = before.tolist()
     ends = heads[1:].tolist()
     for i in reversed(out):
-        if i and kinds[i - 1]:
-            c = values[i - 1]
+        j = before[i]
+        if j >= 0:
+            c = values[j]
             ends[c] -= 1
-            out[ends[c]] = i - 1
+            out[ends[c]] = j
     return np.array(out)
 
 
+def _induce_buckets(s: np.ndarray, small: np.ndarray, order: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The same, a bucket at a time: what a bucket's suffixes induce is dealt to the buckets by one stable sort.
+
+    A bucket is read again as long as it induces into itself, which only runs of one symbol do.
+    """
+    out = np.zeros(len(s), dtype=np.int64)
+    width = np.uint16 if len(heads) < 1 << 16 else np.int64
+    keys = s.astype(width)
+    firsts = np.searchsorted(s[order], np.arange(len(heads)))
+
+    def deal(sources: np.ndarray, kind: bool, ends: np.ndarray, step: int) -> None:
+        before = sources[sources > 0] - 1
+        before = before[small[before] == kind]
+        if not len(before):
+            return
+        sign = keys[before]
+        by_sign = np.argsort(sign, kind="stable")
+        before, sign = before[by_sign], sign[by_sign]
+        edge = np.flatnonzero(np.concatenate(([True], sign[1:] != sign[:-1])))
+        count = np.diff(np.append(edge, len(sign)))
+        rank = np.arange(len(sign)) - np.repeat(edge, count)
+        base = ends[sign]
+        out[base + rank if step > 0 else base - 1 - rank] = before
+        ends[sign[edge]] += step * count
+
+    starts = heads[:-1].copy()
+    last = len(s) - 1
+    out[starts[s[last]]] = last
+    starts[s[last]] += 1
+    for c in range(len(starts)):
+        read = heads[c]
+        while read < starts[c]:
+            fresh, read = out[read:starts[c]].copy(), starts[c]
+            deal(fresh, False, starts, 1)
+        deal(order[firsts[c]:firsts[c + 1]], False, starts, 1)
+    ends = heads[1:].copy()
+    for c in reversed(range(len(starts))):
+        read = heads[c + 1]
+        while read > ends[c]:
+            fresh, read = out[ends[c]:read][::-1].copy(), ends[c]
+            deal(fresh, True, ends, -1)
+        deal(out[heads[c]:starts[c]][::-1].copy(), True, ends, -1)
+    return out
+
+
 def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int, run: int = 64) -> np.ndarray:
     """For each place in ``sa``: common prefix with the suffix before, up to ``most``, by the permuted array.
 
@@ -125,81 +223,159 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(out[:len(x) - width + 1], out[width - done:]) if done < width else out
 
 
-def anchors(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of a text; every window that is least somewhere, ties included."""
-    reach = length - ANCHOR + 1
-    if len(raw) < length:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    h, width = TABLE[np.frombuffer(raw, dtype=np.uint8)], 1
+def anchors(data: bytes, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors of some texts that stand side by side and end at ``ends``.
+
+    Every window that is least in some string is an anchor, ties included. Also the first and last start of
+    the strings in which it is.
+    """
+    reach, none = length - ANCHOR + 1, np.empty(0, dtype=np.int64)
+    if len(data) < length:
+        return none, none, none, none
+    h, width = TABLE[np.frombuffer(data, dtype=np.uint8)], 1
     for k in range(6):
         h = h[:-width] * np.uint64(FACTORS[k]) + h[width:]
         width *= 2
     h ^= h >> np.uint64(29)
     h *= np.uint64(FACTORS[7])
     h ^= h >> np.uint64(32)
+    h |= np.uint64(1)
     least = _sliding(h, reach, np.minimum)
+    # Strings across the end of a text count for none.
+    fits = np.ones(len(least) + 1, dtype=np.int8)
+    begins = np.concatenate(([0], ends[:-1]))
+    np.subtract.at(fits, np.minimum(np.maximum(ends - length + 1, begins), len(least)), 1)
+    np.add.at(fits, np.minimum(ends, len(least)), 1)
+    least[np.cumsum(fits.astype(np.int64) - 1)[:-1] < 0] = 0
     padded = np.concatenate([np.zeros(reach - 1, np.uint64), least, np.zeros(reach - 1, np.uint64)])
     at = np.flatnonzero(_sliding(padded, reach, np.maximum) == h)
-    return at, h[at].view(np.int64)
+    # Runs of starts with one least value, and the anchors of that value that their strings hold.
+    edge = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    value, first = least[edge], edge
+    last = np.append(edge[1:], len(least)) - 1
+    first, last, value = first[value > 0], last[value > 0], value[value > 0]
+    low, high = np.searchsorted(at, first), np.searchsorted(at, last + reach - 1, "right")
+    run = np.repeat(np.arange(len(first)), high - low)
+    place = np.arange(len(run)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[run]
+    own = h[at[place]] == value[run]
+    run, at = run[own], at[place[own]]
+    begin, end = np.maximum(first[run], at - reach + 1), np.minimum(last[run], at)
+    good = begin <= end
+    return at[good], h[at[good]].view(np.int64), begin[good], end[good]
+
+
+def _digest(data: bytes, size: int = 16) -> bytes:
+    return hashlib.blake2b(data, digest_size=size).digest()
+
+
+def _number(data: bytes) -> int:
+    """A 64-bit digest as a long."""
+    return int.from_bytes(_digest(data, 8), "little", signed=True)
+
+
+def _raw(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def _buffers(texts: list[bytes], length: int):
+    """Texts side by side, about PIECE bytes at a time: ``(number, first byte, bytes)``; long texts overlap by a string."""
+    held, size = [], 0
+    for number, raw in enumerate(texts):
+        for at in range(0, max(1, len(raw) - length + 1), PIECE):
+            piece = raw[at:at + PIECE + length - 1]
+            if len(piece) < length:
+                continue
+            held.append((number, at, piece))
+            size += len(piece)
+            if size >= PIECE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _found(texts: list[bytes], length: int):
+    """``(numbers, hashes, places, first starts, last starts)`` of the anchors, buffer by buffer."""
+    for held in _buffers(texts, length):
+        sizes = np.array([len(piece) for _, _, piece in held])
+        ends = np.cumsum(sizes)
+        at, hashes, low, high = anchors(b"".join(piece for _, _, piece in held), ends, length)
+        owner = np.searchsorted(ends, at, "right")
+        shift = np.array([first for _, first, _ in held])[owner] - (ends - sizes)[owner]
+        yield np.array([number for number, _, _ in held])[owner], hashes, at + shift, low + shift, high + shift
+
+
+def repeated_anchors(rows: DataFrame, length: int) -> DataFrame:
+    """``anchor`` of those seen at two places or more, by their hash alone."""
 
+    def make():
+        def work(batch):
+            texts = [_raw(t) for t in batch.column(1).to_pylist()]
+            hashes = [np.empty(0, dtype=np.int64)] + [h for _, h, _, _, _ in _found(texts, length)]
+            return list(np.unique(np.concatenate(hashes), return_counts=True))
 
-def _bounds(at: int, size: int, length: int) -> tuple[int, int]:
-    side = length - ANCHOR
-    return max(0, at - side), min(size, at + ANCHOR + side)
-
+        return work
 
-def _digest(data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=16).digest()
+    counted = map_slices(rows, make, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return stored(counted.where("n > 1").select("anchor"), "anchors")
 
 
 def anchor_table(rows: DataFrame, length: int) -> DataFrame:
-    """``(text_key, at, size, anchor, frag)`` for every anchor; ``frag`` stands for fragment and offset."""
+    """``(text_key, size, at, low, high, anchor, frag)`` for every anchor.
 
-    def run(batches):
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                raw = text.encode("utf-8", "surrogatepass")
-                places, hashes = anchors(raw, length)
-                if not len(places):
-                    continue
-                key = _digest(raw)
-                frags = []
-                for p in places.tolist():
-                    a, b = _bounds(p, len(raw), length)
-                    frags.append(_digest(bytes([p - a]) + raw[a:b]))
-                n = len(frags)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * n, pa.binary()), pa.array(places, pa.int32()), pa.array([len(raw)] * n, pa.int32()),
-                     pa.array(hashes), pa.array(frags, pa.binary())],
-                    names=["text_key", "at", "size", "anchor", "frag"])
+    Its strings start at ``low`` to ``high``; ``frag`` stands for the bytes of the fragment and the offset in it.
+    """
 
-    return rows.mapInArrow(run, "text_key binary, at int, size int, anchor bigint, frag binary")
+    def make():
+        def work(batch):
+            texts = [_raw(t) for t in batch.column(1).to_pylist()]
+            keys = np.array([_number(t) if len(t) >= length else 0 for t in texts], dtype=np.int64)
+            sizes = np.array([len(t) for t in texts], dtype=np.int32)
+            out = []
+            for number, hashes, at, low, high in _found(texts, length):
+                frags = [_number(bytes([p - a]) + texts[i][a:b + length])
+                         for i, p, a, b in zip(number.tolist(), at.tolist(), low.tolist(), high.tolist())]
+                out.append((keys[number], sizes[number], at, low, high, hashes, np.array(frags, dtype=np.int64)))
+            return [np.concatenate(c) for c in zip(*out)] if out else [[]] * 7
+
+        return work
+
+    return map_slices(rows, make, "text_key bigint, size int, at int, low int, high int, anchor bigint, frag bigint")
 
 
-def repeated_starts(group: list[tuple[int, int, bytes]], length: int) -> list[list[int]]:
-    """For each ``(anchor, offset, fragment)``: the starts of its strings that start in another one too."""
+def repeated_starts(group: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ``(anchor, offset, fragment)``: numbers and ranges of what their strings cover that start in another one too."""
+    none = np.empty(0, dtype=np.int64)
     if not group:
-        return []
-    parts, owner, place = [], [], []
-    for i, (_, _, data) in enumerate(group):
-        parts += [np.frombuffer(data, dtype=np.uint8).astype(np.int64) + 1, [0]]
-        owner.append(np.full(len(data) + 1, i))
-        place.append(np.arange(len(data) + 1))
-    s, owner, place = np.concatenate(parts), np.concatenate(owner), np.concatenate(place)
+        return none, none, none
+    sizes = np.array([len(data) for _, _, data in group])
+    ends = np.cumsum(sizes + 1)
+    s = np.frombuffer(b"".join(data + b"\0" for _, _, data in group), dtype=np.uint8).astype(np.int64) + 1
+    s[ends - 1] = 0
+    owner = np.repeat(np.arange(len(group)), sizes + 1)
+    place = np.arange(len(s)) - np.repeat(ends - sizes - 1, sizes + 1)
+    hashes, offset = np.array([a for a, _, _ in group], dtype=np.int64), np.array([o for _, o, _ in group])
+    # Starts of strings that hold the anchor.
+    fits = (place + length <= sizes[owner]) & (place <= offset[owner]) & (place + length >= offset[owner] + ANCHOR)
     sa = suffix_array(s)
     run = np.cumsum(common_prefixes(s, sa, length) < length)
-    offset = np.array([o for _, o, _ in group])[owner[sa]]
-    size = np.array([len(d) for _, _, d in group])[owner[sa]]
-    at = place[sa]
-    fits = (at + length <= size) & (at <= offset) & (at + length >= offset + ANCHOR)
-    hashes = np.array([a for a, _, _ in group])[owner[sa]]
-    fits &= np.bincount(run)[run] > 1
-    table = pd.DataFrame({"run": run, "anchor": hashes, "shift": at - offset, "owner": owner[sa], "at": at})[fits]
-    twice = table[table.groupby(["run", "anchor", "shift"])["owner"].transform("size") > 1]
-    out: list[list[int]] = [[] for _ in group]
-    for i, a in zip(twice["owner"].tolist(), twice["at"].tolist()):
-        out[i].append(a)
-    return out
+    good = fits[sa]
+    run, sa = run[good], sa[good]
+    several = np.concatenate((run[1:] == run[:-1], [False])) | np.concatenate(([False], run[1:] == run[:-1])) if len(run) else good[:0]
+    run, sa = run[several], sa[several]
+    own, at = owner[sa], place[sa]
+    anchor, shift = hashes[own], at - offset[own]
+    order = np.lexsort((shift, anchor, run))
+    run, anchor, shift, own, at = (x[order] for x in (run, anchor, shift, own, at))
+    again = (run[1:] == run[:-1]) & (anchor[1:] == anchor[:-1]) & (shift[1:] == shift[:-1])
+    twice = np.concatenate((again, [False])) | np.concatenate(([False], again)) if len(run) else run.astype(bool)
+    own, at = own[twice], at[twice]
+    order = np.lexsort((at, own))
+    own, at = own[order], at[order]
+    apart = (own[1:] != own[:-1]) | (at[1:] > at[:-1] + length)
+    first = np.flatnonzero(np.concatenate(([True], apart))) if len(own) else none
+    last = np.append(first[1:], len(own)) - 1 if len(own) else none
+    return own[first], at[first], at[last] + length
 
 
 def shared_parts(group: list[tuple[int, int, bytes]], length: int, classes: int = 4) -> list[tuple[int, int, int]]:
@@ -225,95 +401,99 @@ def shared_parts(group: list[tuple[int, int, bytes]], length: int, classes: int
     return out
 
 
-def _ranges(starts: list[int], length: int) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a in sorted(starts):
-        if out and a <= out[-1][1]:
-            out[-1][1] = a + length
-        else:
-            out.append([a, a + length])
-    return [(a, b) for a, b in out]
-
-
 def fragments(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``(anchor, frag, off, data)`` of the wanted ``(text_key, anchor, frag, at, n, kinds)``."""
-    keyed = map_slices(
-        rows, lambda: lambda b: [[_digest(t.encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], b.column(1)],
-        "text_key binary, text string")
-    places = wanted.groupBy("text_key").agg(F.collect_list(F.struct("anchor", "frag", "at", "kinds")).alias("places"))
-    joined = keyed.join(places, "text_key")
+    """``(anchor, frag, kinds, off, data)`` of the wanted ``(text_key, size, anchor, frag, at, low, high, kinds)``."""
+    places = wanted.groupBy("text_key", "size").agg(F.collect_list(F.struct("anchor", "frag", "at", "low", "high", "kinds")).alias("places"))
+    joined = keyed_texts(rows, length).where(f"size >= {length}").drop("doc_id").join(places, ["text_key", "size"])
+    struct, schema = arrow_schema("anchor bigint, frag bigint, kinds bigint, off int, data binary")
 
     def run(batches):
         for batch in batches:
-            for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = text.encode("utf-8", "surrogatepass")
-                rows = []
-                for p in places:
-                    a, b = _bounds(p["at"], len(raw), length)
-                    rows.append({"anchor": p["anchor"], "frag": p["frag"], "kinds": p["kinds"], "off": p["at"] - a, "data": raw[a:b]})
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([
-                    ("anchor", pa.int64()), ("frag", pa.binary()), ("kinds", pa.int64()), ("off", pa.int32()), ("data", pa.binary())]))
-
-    cut = joined.select("text", "places").mapInArrow(run, "anchor bigint, frag binary, kinds bigint, off int, data binary")
+            for text, places in zip(batch.column(0), batch.column(1)):
+                raw, found = _raw(text.as_py()), places.values
+                anchor, frag, at, low, high, kinds = (found.field(c) for c in ("anchor", "frag", "at", "low", "high", "kinds"))
+                at, low = at.to_numpy(), low.to_numpy()
+                data = [raw[a:b + length] for a, b in zip(low.tolist(), high.to_pylist())]
+                yield pa.RecordBatch.from_arrays(
+                    [anchor, frag, kinds, pa.array(at - low), pa.array(data, pa.binary())], schema=schema)
+
+    cut = joined.select("text", "places").mapInArrow(run, struct)
+    # Copies of a text each give its fragments.
     return cut.dropDuplicates(["anchor", "frag"])
 
 
-def repeated_ranges(rows: DataFrame, length: int = LENGTH, hot: int = 1000, shard: int = 300) -> DataFrame:
-    """``(text_key, spans)``: byte ranges of each text that repeated strings cover."""
-    table = stored(anchor_table(rows, length), "anchors")
+def keyed_texts(rows: DataFrame, length: int) -> DataFrame:
+    """``(doc_id, text_key, size, text)``; texts too short for a string, which match nothing, are dealt out by their place."""
+
+    def make():
+        def work(batch):
+            raws = [_raw(t) for t in batch.column(1).to_pylist()]
+            return [batch.column(0), [_number(r) if len(r) >= length else i for i, r in enumerate(raws)], [len(r) for r in raws], batch.column(1)]
+
+        return work
+
+    return map_slices(rows, make, "doc_id bigint, text_key bigint, size int, text string")
+
+
+def repeated_ranges(rows: DataFrame, length: int = LENGTH, hot: int = 1000, shard: int = 2400) -> DataFrame:
+    """``(text_key, size, spans)``: byte ranges of each text that repeated strings cover."""
+    table = stored(anchor_table(rows, length).join(repeated_anchors(rows, length), "anchor", "left_semi"), "places")
     kinds = stored(table.groupBy("anchor", "frag").agg(
-        F.count("*").alias("n"), F.min(F.struct("text_key", "at")).alias("first")), "fragments")
+        F.count("*").alias("n"), F.min(F.struct("text_key", "size", "at", "low", "high")).alias("first")), "fragments")
     # Where every fragment occurs twice, all of them are repeated from end to end already.
     several = (
         kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("rarest"))
         .where("kinds > 1 and rarest = 1").drop("rarest")
     )
-    wanted = kinds.join(several, "anchor").select("anchor", "frag", "first.text_key", "first.at", "kinds")
+    wanted = kinds.join(several, "anchor").select("anchor", "frag", "first.*", "kinds")
     cut = stored(fragments(rows, wanted, length), "cut")
     shards = max(1, cut.where(F.col("kinds") <= hot).count() // shard)
 
-    def induced(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["anchor", "frag"])
+    def induced(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("anchor", "ascending"), ("frag", "ascending")])
+        anchor, frag, off, data = (group.column(c).to_pylist() for c in ("anchor", "frag", "off", "data"))
+        rows = list(zip(anchor, off, data))
+        out = []
         # Batches end between anchors, so that the arrays of a shard stay small.
-        out, part, rows = [], [], list(group.itertuples(index=False))
-        for i, r in enumerate(rows):
-            part.append(r)
-            if i + 1 == len(rows) or len(part) >= shard and rows[i + 1].anchor != r.anchor:
-                cut = shared_parts([(p.anchor, p.off, p.data) for p in part], length)
-                found = repeated_starts([(part[i].anchor, part[i].off - low, part[i].data[low:high]) for i, low, high in cut], length)
-                out += [(part[i].anchor, part[i].frag, low + a, low + b)
-                        for (i, low, _), starts in zip(cut, found) for a, b in _ranges(starts, length)]
-                part = []
-        return pd.DataFrame(out, columns=["anchor", "frag", "a", "b"])
+        start = 0
+        for i in range(1, len(rows) + 1):
+            if i == len(rows) or i - start >= shard and anchor[i] != anchor[i - 1]:
+                part = shared_parts(rows[start:i], length)
+                own, a, b = repeated_starts(
+                    [(rows[start + k][0], rows[start + k][1] - low, rows[start + k][2][low:high]) for k, low, high in part], length)
+                number = np.array([k for k, _, _ in part], dtype=np.int64)[own] + start
+                low = np.array([low for _, low, _ in part], dtype=np.int64)[own]
+                out.append((number, low + a, low + b))
+                start = i
+        number, a, b = (np.concatenate(c) for c in zip(*out))
+        taken = group.select(["anchor", "frag"]).take(pa.array(number))
+        return taken.append_column("a", pa.array(a.astype(np.int32))).append_column("b", pa.array(b.astype(np.int32)))
 
     normal = (
         cut.where(F.col("kinds") <= hot).withColumn("shard", F.pmod("anchor", F.lit(shards)))
-        .groupBy("shard").applyInPandas(induced, "anchor bigint, frag binary, a int, b int")
+        .groupBy("shard").applyInArrow(induced, "anchor bigint, frag bigint, a int, b int")
     )
 
     def strings(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                low, high = max(0, r["off"] + ANCHOR - length), min(r["off"], len(r["data"]) - length)
-                found = [(r["anchor"], r["frag"], a, a + length, a - r["off"], _digest(r["data"][a:a + length])) for a in range(low, high + 1)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (
-                        pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["anchor", "frag", "a", "b", "shift", "string"])
+                found = [(r["anchor"], r["frag"], a, a + length, a - r["off"], _digest(r["data"][a:a + length]))
+                         for a in range(len(r["data"]) - length + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (
+                    pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["anchor", "frag", "a", "b", "shift", "string"])
 
     # A string may hold an anchor at several offsets, as all its copies do; so copies are counted for each offset.
-    listed = cut.where(F.col("kinds") > hot).mapInArrow(strings, "anchor bigint, frag binary, a int, b int, shift int, string binary")
+    listed = cut.where(F.col("kinds") > hot).mapInArrow(strings, "anchor bigint, frag bigint, a int, b int, shift int, string binary")
     listed = stored(listed, "strings")
     twice = listed.groupBy("anchor", "shift", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     busy = listed.join(twice, ["anchor", "shift", "string"]).select("anchor", "frag", "a", "b")
-    side = length - ANCHOR
-    start = F.greatest(F.lit(0), F.col("at") - side)
     whole = kinds.where("n > 1").select("anchor", "frag", F.lit(0).alias("a"), F.lit(-1).alias("b"))
     marks = stored(whole.union(normal).union(busy).groupBy("anchor", "frag").agg(F.collect_set(F.struct("a", "b")).alias("m")), "marks")
-    full = F.least(F.col("size"), F.col("at") + ANCHOR + side)
+    end = F.when(F.col("m.b") < 0, F.col("high") + length).otherwise(F.col("low") + F.col("m.b"))
     return (
-        table.join(marks, ["anchor", "frag"]).select("text_key", "at", "size", F.explode("m").alias("m"))
-        .select("text_key", (start + F.col("m.a")).alias("a"), F.when(F.col("m.b") < 0, full).otherwise(start + F.col("m.b")).alias("b"))
-        .groupBy("text_key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+        table.join(marks, ["anchor", "frag"]).select("text_key", "size", "low", "high", F.explode("m").alias("m"))
+        .select("text_key", "size", (F.col("low") + F.col("m.a")).alias("a"), end.alias("b"))
+        .groupBy("text_key", "size").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     )
 
 
@@ -331,16 +511,13 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` for every row; ``kept`` are the remaining bytes."""
     rows = doc_texts(docs)
     spans = repeated_ranges(rows, length, **options)
-    keyed = map_slices(
-        rows, lambda: lambda b: [b.column(0), [_digest(t.encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], b.column(1)],
-        "doc_id bigint, text_key binary, text string")
-    joined = keyed.join(spans, "text_key", "left").select("doc_id", "text", "spans")
+    joined = keyed_texts(rows, length).join(spans, ["text_key", "size"], "left").select("doc_id", "text", "spans")
 
     def make():
         def work(batch):
             out = []
             for doc, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = text.encode("utf-8", "surrogatepass")
+                raw = _raw(text)
                 cuts = merge((s["a"], s["b"]) for s in spans or [])
                 kept, done = [], 0
                 for a, b in cuts:
