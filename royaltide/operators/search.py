@@ -22,9 +22,7 @@ DIM = 1024
 # Scores are ranked at this many decimals, so that copies of a vector tie
 # exactly and the id decides, wherever each copy was scored.
 SCORE_DIGITS = 9
-# A query table within both bounds is sent to the tasks; a larger one is shuffled.
-MAX_SENT_QUERIES = 4096
-MAX_SENT_BYTES = 64 << 20
+BLOCK_QUERIES = 4096
 SCORE_CELLS = 4 << 20
 
 
@@ -179,7 +177,8 @@ def sync_index(
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    flat = np.concatenate(vectors.to_numpy()) if len(vectors) else np.empty(0)
+    return flat.astype(np.float64, copy=False).reshape(len(vectors), -1)
 
 
 def _best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -225,18 +224,15 @@ def vector_topk(
     query_id: str = "query_id",
     query_vec: str = "query_vector",
     columns: Sequence[str] = (),
-    max_sent: int = MAX_SENT_QUERIES,
     shard_rows: int = 50_000,
+    block_queries: int = BLOCK_QUERIES,
 ) -> DataFrame:
     """The ``k`` items with the highest dot product for every query, exactly.
 
-    Vectors of unit length make this the cosine. Every task scores its rows
-    against a whole block of queries by one matrix product and passes on only
-    its own k best per query; scored pairs never reach a shuffle.
-
-    A query table of up to ``max_sent`` rows and MAX_SENT_BYTES goes to the tasks
-    with the code and the index is only scanned. A larger one meets the index
-    in blocks: (index shard, query block) pairs of bounded size.
+    Vectors of unit length make this the cosine. Items and queries meet in (index shard, query
+    block) pairs of bounded size; each pair is one matrix product in slices and passes on only
+    its own k best per query, so scored pairs never reach a shuffle. There are at least as
+    many shards as cores.
     """
     keep = list(dict.fromkeys([id_col, *columns]))
     queries = queries.select(F.col(query_id), F.col(query_vec))
@@ -245,38 +241,21 @@ def vector_topk(
     fields += [index.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())]
     schema = T.StructType(fields)
 
-    sent = queries.limit(max_sent + 1).collect()
-    size = sum(len(r[1]) for r in sent) * 8
-    if len(sent) <= max_sent and size <= MAX_SENT_BYTES:
-        if not sent:
-            return items.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
-        ids = [r[0] for r in sent]
-        matrix = np.array([r[1] for r in sent], dtype=np.float64)
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    yield _score_batch(batch, id_col, vec_col, keep, ids, matrix, query_id, k)
-
-        partial = items.mapInPandas(scan, schema)
-    else:
-        partial = _blocked(
-            items, queries, schema, id_col, vec_col, keep, query_id, query_vec, k, shard_rows
-        )
+    partial = _blocked(items, queries, schema, id_col, vec_col, keep, query_id, query_vec, k, shard_rows, block_queries)
     order = W.partitionBy(query_id).orderBy(F.desc("score"), F.asc(id_col))
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _blocked(
-    items, queries, schema, id_col, vec_col, keep, query_id, query_vec, k, shard_rows
+    items, queries, schema, id_col, vec_col, keep, query_id, query_vec, k, shard_rows, block_queries
 ) -> DataFrame:
     """Partial top-k over (index shard, query block) pairs.
 
     Shards and blocks come from a hash of the unique ids, so all are of like
     size; both counts follow from the table sizes.
     """
-    shards = max(1, -(-items.count() // shard_rows))
-    blocks = max(1, -(-queries.count() // MAX_SENT_QUERIES))
+    shards = max(items.sparkSession.sparkContext.defaultParallelism, -(-items.count() // shard_rows))
+    blocks = max(1, -(-queries.count() // block_queries))
 
     def number(key: str, count: int) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(count).cast("bigint"))
@@ -411,7 +390,7 @@ def vector_topk_lsh(
         return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
 
     item_pieces = pieces(items, bucket_rows, "_ip")
-    query_pieces = pieces(asked, MAX_SENT_QUERIES, "_qp")
+    query_pieces = pieces(asked, BLOCK_QUERIES, "_qp")
     # The inner joins also drop buckets that only one side has.
     both = ["_table", "_bucket"]
     group = [*both, "_i", "_q"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -86,16 +88,39 @@ def extract(
     return df.withColumn(name, F.struct(*fields))
 
 
-def first_sentence(text: Column | str) -> Column:
-    """Text up to the first full stop."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.substring_index(text, ".", 1)
+_WORD = re.compile(r"[^\W_]{4,}")
+_BLANKS = " \t\n\x0b\f\r"
+
+
+def key_sentence(text: str | None) -> str | None:
+    """The sentence whose words are the most frequent of the whole text.
+
+    Sentences end at full stops, exclamation and question marks. A sentence is worth the mean
+    count of its words of four letters or more, counted over the whole text; the first of equals
+    wins. Without such words the first sentence that is not blank is taken.
+    """
+    if text is None:
+        return None
+    sentences = [s for s in (part.strip(_BLANKS) for part in re.split("[.!?]", text)) if s]
+    words = [_WORD.findall(s.lower()) for s in sentences]
+    counts = Counter(w for found in words for w in found)
+    worth = [sum(counts[w] for w in found) / len(found) if found else 0.0 for found in words]
+    return sentences[max(range(len(worth)), key=worth.__getitem__)] if sentences else ""
+
+
+def key_sentences(text: Column | str) -> Column:
+    """:func:`key_sentence` of every row, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def pick(texts: pd.Series) -> pd.Series:
+        return texts.map(key_sentence)
+
+    return pick(F.col(text) if isinstance(text, str) else text)
 
 
 def sentence_backend(prompts: pd.Series) -> pd.Series:
-    """Model-free backend: the first sentence of what follows the instruction line."""
-    body = prompts.str.split("\n", n=1).str[-1]
-    return body.str.split(".", n=1).str[0]
+    """Model-free backend: the key sentence of what follows the instruction line."""
+    return prompts.str.split("\n", n=1).str[-1].map(key_sentence)
 
 
 def generate(
@@ -169,7 +194,7 @@ def triage(
     """Messages that need attention, with a one-line summary of each."""
     kept = classify_filter(df, text_col, labels, default, urgent, name="sentiment")
     if backend is None:
-        summary = F.concat(F.lit("["), F.col("sentiment"), F.lit("] "), F.trim(first_sentence(text_col)))
+        summary = F.concat(F.lit("["), F.col("sentiment"), F.lit("] "), key_sentences(text_col))
         return kept.withColumn("issue_summary", summary)
     prompt = F.concat(F.lit("Summarise the issue and its urgency in one sentence:\n"), F.col(text_col))
     return generate(kept, prompt, backend, spread_by, name="issue_summary")

@@ -67,16 +67,22 @@ def _(t):
     return L.lookup_song_royalties(t.songs, t.royalty_payments, t.songwriters, TERM)
 
 
+# Weights are added as decimals, so the sum has no order; the percentage is rounded half up in integers.
 _SPLITS = f"""
-    WITH listed AS (
-        SELECT song_id, title, songwriter_id, w.name AS songwriter_name, pro_affiliation,
-               split_percentage / sum(split_percentage) OVER (PARTITION BY song_id) AS part, gross
+    WITH weighed AS (
+        SELECT song_id, title, songwriter_id, w.name AS songwriter_name, pro_affiliation, gross,
+               split_percentage AS raw, CAST(split_percentage AS DECIMAL(18, 9)) AS exact,
+               sum(CAST(split_percentage AS DECIMAL(18, 9))) OVER (PARTITION BY song_id) AS whole
         FROM (SELECT song_id, {sql_money("gross_amount")} AS gross
               FROM {{royalty_payments}} GROUP BY song_id)
              JOIN {{song_writers}} USING (song_id) JOIN {{songs}} USING (song_id)
-             LEFT JOIN {{songwriters}} w USING (songwriter_id))
-    SELECT song_id, title, CAST(songwriter_id AS VARCHAR) AS songwriter_id, songwriter_name,
-           pro_affiliation, {sql_round("part * 100", 2)} AS split_percentage,
+             LEFT JOIN {{songwriters}} w USING (songwriter_id)),
+    listed AS (
+        SELECT *, raw / CAST(whole AS DOUBLE) AS part,
+               CAST(exact * 1000000000 AS HUGEINT) AS units, CAST(whole * 1000000000 AS HUGEINT) AS all_units
+        FROM weighed)
+    SELECT song_id, title, CAST(songwriter_id AS VARCHAR) AS songwriter_id, songwriter_name, pro_affiliation,
+           CAST((20000 * units + all_units) // (2 * all_units) AS DOUBLE) / 100 AS split_percentage,
            {sql_round("gross * part", 2)} AS gross_share,
            {sql_round("gross * part * CAST(0.15 AS DOUBLE)", 2)} AS estimated_deductions,
            {sql_round("gross * part * CAST(0.85 AS DOUBLE)", 2)} AS net_share

@@ -1,8 +1,11 @@
 """Service-usage reports on the bound usage and payload logs."""
 
+from pyspark.sql import functions as F
+
 from royaltide.functions.columns import TextRule
 from royaltide.operators import guardrails as G
 from royaltide.operators import monitoring as M
+from royaltide.operators import sketches as K
 from royaltide.plans.common import AS_OF_TIME, Catalogue, sql_round, sql_time, sql_int
 
 CAT = Catalogue()
@@ -273,3 +276,30 @@ def _(t):
 )
 def _(t):
     return M.recent_requests(t.payload)
+
+
+@CAT.add(
+    "usage_rollup",
+    """SELECT CAST(CAST(request_time AS DATE) AS VARCHAR) AS date, count(*) AS total_requests,
+       count(*) FILTER (status_code = 200) AS successful_requests, true AS users_ok
+       FROM {endpoint_usage} GROUP BY 1""",
+)
+def _(t):
+    """Days united from hourly sketches; the estimated users within 3 % of the exact count of the same day."""
+    days = K.rolled_usage(K.usage_sketches(t.endpoint_usage))
+    exact = t.endpoint_usage.groupBy(F.date_trunc("DAY", "request_time").alias("period")).agg(F.count_distinct("requester").alias("exact"))
+    near = F.abs(F.col("unique_users") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.03 * F.col("exact"))
+    return days.join(exact, "period").select(
+        F.to_date("period").alias("date"), "total_requests", "successful_requests", near.alias("users_ok"))
+
+
+@CAT.add(
+    "latency_rollup",
+    """SELECT CAST(CAST(request_time AS DATE) AS VARCHAR) AS date, count(execution_time_ms) AS requests,
+       max(execution_time_ms) AS max_latency_ms, true AS ranks_ok FROM {payload_latency} GROUP BY 1""",
+)
+def _(t):
+    """Days united from hourly sketches; the four quantiles within 1.5 % of the rank asked for."""
+    days = K.rolled_latency(K.latency_sketches(t.payload_latency))
+    worst = K.rank_errors(days, t.payload_latency).groupBy("period").agg((F.max("rank_error") <= 0.015).alias("ranks_ok"))
+    return days.join(worst, "period").select(F.to_date("period").alias("date"), "requests", "max_latency_ms", "ranks_ok")

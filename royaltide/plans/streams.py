@@ -75,16 +75,17 @@ def _usage_stream(t):
 
 
 def _drained(t, stream, label):
-    """Run the stream to its end; on a local master one state partition per core is enough."""
+    """Run the stream to its end, with one state partition per core and the state in RocksDB."""
     table, offsets = scratch_path(t.spark, label), scratch_path(t.spark, "offsets")
-    context, setting = t.spark.sparkContext, "spark.sql.shuffle.partitions"
-    before = t.spark.conf.get(setting)
-    if context.master.startswith("local"):
-        t.spark.conf.set(setting, str(min(int(before), context.defaultParallelism)))
+    settings = dict([V.ROCKSDB, ("spark.sql.shuffle.partitions", str(t.spark.sparkContext.defaultParallelism))])
+    before = {key: t.spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        t.spark.conf.set(key, value)
     try:
         I.drain_to_table(stream, table, offsets)
     finally:
-        t.spark.conf.set(setting, before)
+        for key, value in before.items():
+            t.spark.conf.set(key, value) if value is not None else t.spark.conf.unset(key)
     return t.spark.read.parquet(table)
 
 
@@ -92,15 +93,21 @@ def _drained(t, stream, label):
     "live_usage",
     f"""WITH hours AS (
         SELECT date_trunc('hour', request_time) AS h, count(*) AS n,
-               count(*) FILTER (status_code <> 200) AS bad FROM {{endpoint_usage}} GROUP BY 1)
+               count(*) FILTER (status_code <> 200) AS bad, count(DISTINCT requester) AS users
+        FROM {{endpoint_usage}} GROUP BY 1)
     SELECT {sql_time("h")} AS window_start, {sql_time("h + INTERVAL 1 HOUR")} AS window_end,
            n AS total_requests, n - bad AS successful_requests, bad AS error_count,
-           {sql_round("CAST(bad AS DOUBLE) * 100 / n", 2)} AS error_rate_pct
+           {sql_round("CAST(bad AS DOUBLE) * 100 / n", 2)} AS error_rate_pct, true AS users_ok
     FROM hours WHERE h + INTERVAL 1 HOUR <=
         (SELECT max(request_time) FROM {{endpoint_usage}}) - INTERVAL 10 MINUTE""",
 )
 def _(t):
-    return _drained(t, V.live_usage(_usage_stream(t)), "live").drop("approx_users")
+    """The windows of the stream; the users it estimates are held against an exact count."""
+    windows = _drained(t, V.live_usage(_usage_stream(t)), "live")
+    exact = t.endpoint_usage.groupBy(F.date_trunc("HOUR", "request_time").cast("timestamp").alias("window_start")).agg(
+        F.count_distinct("requester").alias("exact"))
+    near = F.abs(F.col("approx_users") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.03 * F.col("exact"))
+    return windows.join(exact, "window_start").withColumn("users_ok", near).drop("users", "approx_users", "exact")
 
 
 @CAT.add(

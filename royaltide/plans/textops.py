@@ -75,9 +75,27 @@ def _(t):
     return found.select("doc_id", "extracted.*")
 
 
+def _summary_sql(rows: str, *keys: str) -> str:
+    """``keys, summary`` of ``rows(keys, text)``: the sentence with the most frequent words of its text."""
+    key = ", ".join(keys)
+    return f"""
+    cut AS (SELECT {key}, unnest(regexp_split_to_array(text, '[.!?]')) AS raw,
+                   generate_subscripts(regexp_split_to_array(text, '[.!?]'), 1) AS place FROM ({rows})),
+    sentences AS (SELECT {key}, place, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS sentence FROM cut),
+    terms AS (SELECT {key}, place, unnest(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}]{{4,}}')) AS term FROM sentences),
+    told AS (SELECT {key}, term, count(*) AS n FROM terms GROUP BY ALL),
+    worth AS (SELECT {key}, place, avg(n) AS worth FROM terms JOIN told USING ({key}, term) GROUP BY ALL),
+    ranked AS (SELECT {key}, sentence, row_number() OVER (
+                   PARTITION BY {key} ORDER BY coalesce(worth, 0) DESC, place) AS best
+               FROM sentences LEFT JOIN worth USING ({key}, place) WHERE sentence <> ''),
+    chosen AS (SELECT {key}, sentence AS summary FROM ranked WHERE best = 1)"""
+
+
 @CAT.add(
     "generate_summaries",
-    "SELECT doc_id, split_part(text, '.', 1) AS executive_summary FROM {documents}",
+    f"""WITH {_summary_sql("SELECT doc_id, text FROM {documents}", "doc_id")}
+    SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(summary, '') END AS executive_summary
+    FROM {{documents}} LEFT JOIN chosen USING (doc_id)""",
 )
 def _(t):
     prompt = F.concat(F.lit("Summarise for an executive:\n"), F.col("text"))
@@ -102,9 +120,10 @@ def _(t):
 
 @CAT.add(
     "triage_messages",
-    f"""SELECT conv_id, turn, sentiment,
-        '[' || sentiment || '] ' || trim(split_part(content, '.', 1)) AS issue_summary
+    f"""WITH {_summary_sql("SELECT conv_id, turn, content AS text FROM {messages}", "conv_id", "turn")}
+    SELECT conv_id, turn, sentiment, '[' || sentiment || '] ' || coalesce(summary, '') AS issue_summary
         FROM (SELECT *, {_label_sql("content", TOPICS, "neutral")} AS sentiment FROM {{messages}})
+             LEFT JOIN chosen USING (conv_id, turn)
         WHERE sentiment IN ('german', 'french')""",
 )
 def _(t):

@@ -7,18 +7,24 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from royaltide.functions.columns import percent
 from royaltide.operators.guardrails import RateLimit
+from royaltide.operators.sketches import users_sketch
+
+#: Setting that keeps streaming state in RocksDB, outside the heap.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass",
+           "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def live_usage(stream: DataFrame, window: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
     """Requests, errors and users per tumbling window of a request stream.
 
     In append mode a window appears once the watermark has passed its end; rows
-    that arrive after that are dropped. Users are counted approximately, because
-    streams allow no exact distinct count.
+    that arrive after that are dropped. Users are counted by a mergeable sketch, because
+    streams allow no exact distinct count; :func:`royaltide.operators.sketches.rolled_usage`
+    unites the sketches of the windows to those of days without reading requests again.
     """
     total, failed = F.count(F.lit(1)), F.count_if(F.col("status_code") != 200)
     return (
@@ -29,13 +35,72 @@ def live_usage(stream: DataFrame, window: str = "1 hour", watermark: str = "10 m
             (total - failed).alias("successful_requests"),
             failed.alias("error_count"),
             percent(failed, total).alias("error_rate_pct"),
-            F.approx_count_distinct("requester", 0.01).alias("approx_users"),
+            users_sketch("requester").alias("users"),
         )
         .select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "*")
         .drop("_w")
+        .withColumn("approx_users", F.hll_sketch_estimate("users"))
     )
 
 
+class _Admit(StatefulProcessor):
+    """Admits the first ``calls`` rows of each window of a group.
+
+    The state maps an open window to the rows admitted so far. A timer at the end of a window
+    removes its entry once the watermark is past it. Inside a batch the earliest rows are
+    admitted; only as many as are still allowed are held back while the rows pass by.
+    """
+
+    def __init__(self, calls: int, seconds: int, time_col: str, id_col: str, final: bool):
+        self.calls, self.seconds, self.time_col, self.id_col, self.final = calls, seconds, time_col, id_col, final
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.used = handle.getMapState("used", "window bigint", "n int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if self.final and key[1] > 0:
+            # Refused before; such rows come dealt out and need no state.
+            for batch in rows:
+                if not batch.empty:
+                    yield self._out(batch.assign(admitted=False), 0)
+            return
+        used: dict[int, int] = {}
+        held = None
+        for batch in rows:
+            if batch.empty:
+                continue
+            for window in batch["window_number"].unique().tolist():
+                if window not in used:
+                    used[window] = self.used.getValue((window,))[0] if self.used.containsKey((window,)) else 0
+            found = batch if held is None else pd.concat([held, batch])
+            found = found.sort_values([self.time_col, self.id_col], kind="stable")
+            admitted = found.groupby("window_number").cumcount() + found["window_number"].map(used) < self.calls
+            held, refused = found[admitted], found[~admitted]
+            if len(refused):
+                yield self._out(refused.assign(admitted=False), 1)
+        if held is not None and len(held):
+            for window, n in held["window_number"].value_counts().items():
+                self.used.updateValue((int(window),), (used[window] + int(n),))
+                self.handle.registerTimer((int(window) + 1) * self.seconds * 1000)
+            yield self._out(held.assign(admitted=True), 0)
+
+    def _out(self, rows: pd.DataFrame, refused: int) -> pd.DataFrame:
+        """Refused rows keep their part, counted from 1, so that they stay dealt out; others go to part 0."""
+        if self.final:
+            return rows.drop(columns=["window_number", "part_number"])
+        return rows.assign(part_number=(rows["part_number"] + 1) * refused)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = expiredTimerInfo.getExpiryTimeInMs() // (self.seconds * 1000) - 1
+        if self.used.containsKey((passed,)):
+            self.used.removeKey((passed,))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def rate_limit_stream(
     stream: DataFrame,
     limit: RateLimit,
@@ -46,59 +111,29 @@ def rate_limit_stream(
 ) -> DataFrame:
     """Admit or throttle the requests of a stream under one fixed-window limit.
 
-    State is one counter per open window of a key and is dropped once the
-    watermark has passed the window. The windows of a key are dealt to
-    ``spread`` groups, so a backlog of one busy key is not left to one task.
-    Inside a batch the earliest requests are admitted; only as many rows as are
-    still allowed are held back while a group's rows pass by. The result equals
-    the batch operator when requests arrive in order.
+    A key's requests are dealt to ``spread`` groups by a hash of their id. Each lets through
+    the first ``calls`` of a window, which no other group's rows can make fewer; only those, at most
+    ``spread * calls`` rows a window, meet in one group that decides. A busy window so never
+    passes one task, and the refused rows stay dealt out. The state of both steps is a counter per
+    open window and is removed by a timer when the watermark passes the window. The result
+    equals the batch operator when requests arrive in order. Needs the RocksDB state store
+    (:data:`ROCKSDB`).
     """
     seconds = {"MINUTE": 60, "HOUR": 3600}[limit.period]
     fields = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    out = (
-        f"`{id_col}` {fields[id_col]}, `{limit.key}` {fields[limit.key]}, "
-        f"`{time_col}` timestamp, admitted boolean"
-    )
-    calls = limit.calls
-    columns = [id_col, limit.key, time_col, "_window"]
-
-    def decide(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        used = dict(zip(*state.get)) if state.exists else {}
-        held = None
-        for batch in batches:
-            rows = batch[columns] if held is None else pd.concat([held, batch[columns]])
-            rows = rows.sort_values([time_col, id_col], kind="stable")
-            before = rows["_window"].map(lambda w: used.get(w, 0))
-            admitted = rows.groupby("_window").cumcount() + before < calls
-            held, refused = rows[admitted], rows[~admitted]
-            if len(refused):
-                yield refused.drop(columns="_window").assign(admitted=False)
-        if held is not None and len(held):
-            yield held.drop(columns="_window").assign(admitted=True)
-            for window, n in held["_window"].value_counts().items():
-                used[window] = used.get(window, 0) + int(n)
-        passed = state.getCurrentWatermarkMs() // 1000
-        used = {int(w): n for w, n in used.items() if (w + 1) * seconds > passed}
-        if not used:
-            state.remove()
-            return
-        state.update((list(used), list(used.values())))
-        ends = (max(used) + 1) * seconds * 1000
-        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-
+    out = f"`{id_col}` {fields[id_col]}, `{limit.key}` {fields[limit.key]}, `{time_col}` timestamp, admitted boolean"
     number = F.floor(F.unix_seconds(F.date_trunc(limit.period, time_col)) / seconds)
-    windowed = (
-        stream.withColumn(time_col, F.col(time_col).cast("timestamp"))
+    dealt = (
+        stream.select(id_col, limit.key, F.col(time_col).cast("timestamp").alias(time_col))
         .withWatermark(time_col, watermark)
-        .withColumn("_window", number)
-        .withColumn("_part", F.pmod("_window", F.lit(spread)))
-    )
-    return windowed.groupBy(limit.key, "_part").applyInPandasWithState(
-        decide, out, "windows array<bigint>, used array<int>", "append",
-        GroupStateTimeout.EventTimeTimeout,
+        .withColumn("window_number", number)
+        .withColumn("part_number", F.pmod(F.xxhash64(id_col), F.lit(spread)).cast("int"))
     )
+
+    def step(rows: DataFrame, final: bool) -> DataFrame:
+        spec = out if final else out + ", window_number bigint, part_number int"
+        processor = _Admit(limit.calls, seconds, time_col, id_col, final)
+        return rows.groupBy(limit.key, "part_number").transformWithStateInPandas(
+            processor, spec, "append", "eventTime", eventTimeColumnName="" if final else time_col)
+
+    return step(step(dealt, False).drop("admitted"), True)
