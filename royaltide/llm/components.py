@@ -44,6 +44,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         seen, mark = mark, _mark(current)
         if seen == mark:
             break
+    else:
+        raise RuntimeError(f"components not finished after {max_rounds} rounds")
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

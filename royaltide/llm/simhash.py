@@ -15,12 +15,15 @@ fingerprint, and its component is the smallest id reachable (null if there is no
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from royaltide.llm.common import doc_texts, map_slices, q, stored
+from royaltide.llm.common import doc_texts, map_slices, q, stored, whole_groups
 from royaltide.llm.components import connected_components
 
 BITS = 64
@@ -115,12 +118,203 @@ def near_duplicates(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, the one with the smallest id; all columns are kept.
+# --- near copies by shingle similarity ------------------------------------------------
+
+#: A first word of 64 bits stands for the whole in buckets: pairs up to LOOSE bits are verified, TIGHT ones are as good as equal.
+LOOSE, TIGHT, SMALL = 19, 6, 64
+
+
+def shingles(text: str, width: int) -> tuple[bytes, np.ndarray]:
+    """The words of a text joined by spaces, and the different 64-bit hashes of its shingles."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    joined = b" ".join(words)
+    if not words:
+        return joined, np.empty(0, dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    span = min(width, len(words))
+    count = len(words) - span + 1
+    digest = xxhash.xxh64_intdigest
+    pairs = zip(starts[:count].tolist(), ends[span - 1:].tolist())
+    return joined, np.unique(np.fromiter((digest(joined[a:b]) for a, b in pairs), dtype=np.uint64, count=count))
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of ``64 * words`` bits; each word mixes the hashes anew."""
+    ones = np.zeros(64 * words, dtype=np.int64)
+    step = max(1, min(65_535, (1 << 20) // (64 * words)))
+    salts = (np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    for at in range(0, len(hashes), step):
+        x = hashes[at:at + step, None] + salts
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        bits = np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1)
+        ones += bits.sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(hashes)).view(np.uint64)
+
+
+def plan_segments(n: int, similarity: float, recall: float) -> tuple[int, int]:
+    """Bits of a segment and number of segments for ``n`` fingerprints.
+
+    A segment has so many bits that chance puts a few fingerprints into a bucket, whatever ``n``; there
+    are so many of them that a pair at the limit shares one with probability ``recall``.
+    """
+    cosine = 2 * similarity / (1 + similarity)
+    same = 1 - np.arccos(cosine) / np.pi
+    bits = int(np.clip(np.ceil(np.log2(max(n, 2))) - 2, 6, 40))
+    return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - same ** bits)))
+
+
+def _bucket_edges(nodes: np.ndarray, word: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Pairs of a sorted table of buckets that are to be verified.
+
+    A row that is TIGHT to an earlier one of its bucket is covered. Each row is paired with the
+    first that covers it and with all uncovered rows up to LOOSE bits away, so that a crowd of near
+    copies gives a few pairs a row, not all.
+    """
+    out = []
+
+    def pairs(row: np.ndarray, there: np.ndarray) -> None:
+        codes = word[row]
+        apart = np.bitwise_count(codes[:, :, None] ^ codes[:, None, :])
+        apart[~(there[:, :, None] & there[:, None, :])] = 255
+        earlier = np.tril(np.ones(apart.shape[1:], dtype=bool), -1)
+        tight = (apart <= TIGHT) & earlier
+        covered = tight.any(2)
+        first = tight.argmax(2)
+        g, i = np.nonzero(covered)
+        out.append(np.c_[nodes[row[g, i]], nodes[row[g, first[g, i]]]])
+        near = (apart <= LOOSE) & ~covered[:, None, :] & (earlier | covered[:, :, None])
+        g, i, j = np.nonzero(near)
+        keep = row[g, i] != row[g, j]
+        out.append(np.c_[nodes[row[g, i]], nodes[row[g, j]]][keep])
+
+    for width in (2, 4, 8, 16, 32, SMALL):
+        these = (size <= width) & (size > width // 2)
+        step = max(1, (1 << 20) // (width * width))
+        for at in range(0, int(these.sum()), step):
+            begin, n = start[these][at:at + step], size[these][at:at + step]
+            there = np.arange(width) < n[:, None]
+            pairs(np.where(there, begin[:, None] + np.arange(width), 0), there)
+    for begin, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
+        leaders = np.empty(0, dtype=np.int64)
+        for at in range(begin, begin + n, 512):
+            rows = np.arange(at, min(at + 512, begin + n))
+            free = np.ones(len(rows), dtype=bool)
+            for k in range(0, len(leaders), 4096):
+                some = leaders[k:k + 4096]
+                apart = np.bitwise_count(word[rows][:, None] ^ word[some][None, :])
+                i, j = np.nonzero(apart <= LOOSE)
+                out.append(np.c_[nodes[rows[i]], nodes[some[j]]])
+                free &= ~(apart <= TIGHT).any(1)
+            rest = rows[free]
+            if not len(rest):
+                continue
+            pairs(rest[None, :], np.ones((1, len(rest)), dtype=bool))
+            apart = np.bitwise_count(word[rest][:, None] ^ word[rest][None, :])
+            leaders = np.r_[leaders, rest[~((apart <= TIGHT) & np.tril(np.ones(apart.shape, dtype=bool), -1)).any(1)]]
+    return out
+
+
+def _candidates(batches):
+    for table, start in whole_groups(batches, ["key"], 65_536):
+        size = np.diff(np.r_[start, table.num_rows])
+        nodes, word = table.column("node").to_numpy(), table.column("word").to_numpy().view(np.uint64)
+        found = _bucket_edges(nodes, word, start, size)
+        edges = np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
+        if len(edges):
+            edges = np.unique(np.sort(edges, axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+
+
+def near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, recall: float = 0.95,
+) -> DataFrame:
+    """``(doc_id, component_id)`` for every row: groups linked by ``width``-word shingles of Jaccard similarity ``similarity``.
+
+    Texts of equal words are one class. Fingerprints wide enough for the similarity are cut into segments, whose
+    equal values (balls of radius 0: with many narrow segments, fewer rows than larger balls in few) give the pairs;
+    the first word of the fingerprints, then the exact similarity of the shingles verify them. Pairs at the limit
+    meet with probability ``recall``, closer ones more often; no link is made below the limit.
+    """
+    rows = doc_texts(docs, id_col, text_col)
+
+    def keys():
+        def work(batch):
+            joined = [b" ".join(t.encode("utf-8", "surrogatepass").lower().split()) for t in batch.column(1).to_pylist()]
+            return [batch.column(0), [hashlib.blake2b(j, digest_size=16).digest() for j in joined]]
+
+        return work
+
+    named = stored(map_slices(rows, keys, "doc_id bigint, words binary"), "copies")
+    classes = stored(
+        named.groupBy("words").agg(F.min("doc_id").alias("smallest"))
+        .select(F.monotonically_increasing_id().alias("node"), "words", "smallest"), "copy-classes")
+    bits, segments = plan_segments(classes.count(), similarity, recall)
+    wide = -(-bits * segments // 64)
+
+    # One text of each class; the digest of its words finds it.
+    texts = (
+        rows.where("doc_id is not null").join(classes.select("node", F.col("smallest").alias("doc_id")), "doc_id")
+        .groupBy("node").agg(F.min("text").alias("text")))
+
+    def entries():
+        lows = np.arange(segments)[:, None] * bits + np.arange(bits)
+        weights = np.int64(1) << np.arange(bits, dtype=np.int64)
+
+        def work(batch):
+            nodes, out, first = [], [], []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                _, hashes = shingles(text, width)
+                if not len(hashes):
+                    continue
+                code = wide_fingerprint(hashes, wide)
+                values = np.unpackbits(code.view(np.uint8))[lows] @ weights
+                out.append(values + (np.arange(segments, dtype=np.int64) << np.int64(bits)))
+                nodes.append(node)
+                first.append(code[0])
+            flat = np.concatenate(out) if out else np.empty(0, dtype=np.int64)
+            return [flat, np.repeat(np.array(nodes, dtype=np.int64), segments), np.repeat(np.array(first, dtype=np.uint64), segments).view(np.int64)]
+
+        return work
+
+    texts = stored(texts, "copy-texts")
+    buckets = map_slices(texts, entries, "key bigint, node bigint, word bigint")
+    found = buckets.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates, "a bigint, b bigint").distinct()
+
+    def alike(batches):
+        for batch in batches:
+            keep = []
+            known: dict[str, set] = {}
+            for a, b in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                for text in (a, b):
+                    if text not in known:
+                        known[text] = set(shingles(text, width)[1].tolist())
+                shared = len(known[a] & known[b])
+                keep.append(shared >= similarity * (len(known[a]) + len(known[b]) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    paired = (
+        found.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b"))
+    verified = paired.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint")
+    joined = connected_components(verified).join(classes.select("node", "smallest"), "node")
+    lowest = joined.groupBy("component").agg(F.min("smallest").alias("component_id"))
+    labels = classes.join(joined.select("node", "component").join(lowest, "component"), "node", "left").select(
+        "words", F.coalesce("component_id", "smallest").alias("component_id"))
+    return named.join(labels, "words").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each group of :func:`near_copies`, the one with the smallest id; all columns are kept.
 
     Rows with a null id have no place in a group and stay. Of rows that
     repeat the id that stays, all stay.
     """
-    groups = near_duplicates(docs, id_col, text_col)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, q(id_col) == F.col("_gone_id"), "left_anti")
+    groups = near_copies(docs, id_col, text_col, **options)
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    name = "gone_id"
+    while name in [c.lower() for c in docs.columns]:
+        name += "_"
+    return docs.join(gone.withColumnRenamed("doc_id", name), q(id_col) == F.col(name), "left_anti")

@@ -148,19 +148,88 @@ def test_overlap_against_brute_force(make_docs, shared):
         assert row["contaminated"] == (len(hit) > 0 and 20 * len(hit) >= len(ws))
 
 
+def sets_of(text, width=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i:i + width]) for i in range(max(1, len(words) - width + 1))} if words else frozenset({b""})
+
+
+def similar_groups(texts, similarity=0.8):
+    """Smallest place of each text's group by brute force over all pairs."""
+    sets = [sets_of(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i)
+             if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    return components(len(sets), links), links
+
+
+def near_copies_of(rng, words, share):
+    return " ".join(w if rng.random() > share else f"x{rng.integers(1e9)}" for w in words)
+
+
+def test_near_copies_against_all_pairs(make_docs):
+    rng = np.random.default_rng(17)
+    texts = []
+    for _ in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(60, 400))]
+        texts.append(" ".join(words))
+        texts += [near_copies_of(rng, words, share) for share in (0.004, 0.01, 0.02, 0.05)]
+    # A crowd: a third of all rows are copies and near copies of one text.
+    crowd = [f"c{x}" for x in rng.integers(0, 5000, 300)]
+    texts += [near_copies_of(rng, crowd, 0.005) for _ in range(60)] + [" ".join(crowd)] * 40
+    texts += ["", None, " \n ", "one two", "ONE  two", "one two three", "a b c d e", "A b c d\te", "long " * 30_000]
+    order = rng.permutation(len(texts)).tolist()
+    texts = [texts[i] for i in order]
+    docs = make_docs([*enumerate(texts), (None, "one two"), (3, texts[3])])
+    got = simhash.near_copies(docs).where("doc_id is not null").distinct().toPandas().set_index("doc_id")["component_id"]
+    want, links = similar_groups(texts)
+    # No link is made up, and at least 0.95 of the linked texts share their group.
+    assert len(got) == len(texts) and all(want[got[i]] == want[i] and got[i] <= i for i in range(len(texts)))
+    assert sum(got[a] == got[b] for a, b in links) >= 0.95 * len(links) > 2000
+    kept = simhash.drop_near_duplicates(docs.withColumnRenamed("label", "component_id").withColumnRenamed("score", "_gone_id"))
+    assert kept.columns == ["doc_id", "text", "component_id", "n", "_gone_id"]
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert set(ids) == {None, *(i for i in range(len(texts)) if got[i] == i)} and ids.count(None) == 1
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_segments_follow_the_number_of_texts():
+    for n in (2, 10**4, 10**6, 10**9):
+        bits, segments = simhash.plan_segments(n, 0.8, 0.95)
+        same = 1 - np.arccos(1.6 / 1.8) / np.pi
+        assert 1 - (1 - same**bits) ** segments >= 0.95 and (n < 2**8 or n / 2**bits <= 4)
+
+
+def test_fingerprints_by_their_rule():
+    """Bits by counting, word for word, without the operator's own arrays."""
+    import xxhash
+
+    def by_hand(text):
+        words = text.lower().split(" ")
+        hashes = [xxhash.xxh64_intdigest(" ".join(words[i:i + 4]).encode(), 42) for i in range(max(1, len(words) - 3))]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    rng = np.random.default_rng(18)
+    for n in (1, 3, 4, 5, 50, 400):
+        text = " ".join(f"W{x}é" for x in rng.integers(0, 30, n))
+        assert simhash.fingerprint(text) & (2**64 - 1) == by_hand(text.replace("W", "w"))
+    assert simhash.fingerprint(" \t") == 0
+
+
 def test_pipeline_stages(shared):
     docs = shared.read.parquet(f"{SF}/documents.parquet")
     labels, bench = (shared.read.parquet(f"{SF}/{n}.parquet") for n in ("labels", "benchmark"))
-    kept = {r["doc_id"] for r in toxicity.score(docs, labels).where("predicted = 0").collect()}
+    clean = {r["doc_id"] for r in toxicity.score(docs, labels).where("predicted = 0").collect()}
     frame = docs.toPandas()
-    frame = frame[frame["doc_id"].isin(kept)].sort_values("doc_id")
-    fps = [simhash.fingerprint(t or "") & (2**64 - 1) for t in frame["text"]]
-    links = [(i, j) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 4]
-    frame = frame[[c == i for i, c in enumerate(components(len(fps), links))]]
+    frame = frame[frame["doc_id"].isin(clean)].sort_values("doc_id").reset_index(drop=True)
+    group, links = similar_groups(frame["text"].tolist())
+    ids = frame["doc_id"].tolist()
     dirty = {r["doc_id"] for r in decontam.find_overlap(docs, bench).where("contaminated").collect()}
-    want = set(frame["doc_id"]) - dirty
     out = corpus_pipeline.run(shared, SF).toPandas()
-    assert set(out["doc_id"]) == want and len(out) == len(want) and out["round_trip"].all()
+    kept = set(out["doc_id"])
+    assert len(out) == len(kept) and out["round_trip"].all()
+    # What goes is toxic, dirty or has an earlier text in its group; of such texts at most a tenth stays.
+    alone = {ids[i] for i, g in enumerate(group) if g == i}
+    later = {ids[i] for i, g in enumerate(group) if g != i}
+    assert alone - dirty <= kept <= clean - dirty and len(kept & later) <= 0.1 * len(later) and links
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(shared, docs.limit(0), SF).columns == docs.columns
     masked = corpus_pipeline.STAGES[3][1](shared, docs, SF).toPandas()["text"]
