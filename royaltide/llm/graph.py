@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from royaltide.llm.common import arrow_schema, pick, stored
 
-CELLS = 1 << 22
+CELLS = 1 << 20
 _LISTS = "node bigint, dim int, cands array<bigint>, sims array<float>, fresh array<boolean>"
 
 
@@ -235,7 +235,7 @@ def _local(degree: int, schema: pa.Schema):
                 pair = (f[g, i], m[g, j])
                 kept.append((pair[a], pair[b], score[g, i, j]))
                 held += len(g)
-            if held > 2_000_000:
+            if held > 500_000:
                 kept = reduced(kept)
                 held = len(kept[0][0])
         node, cand, sim = reduced(kept)[0]
