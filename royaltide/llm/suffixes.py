@@ -378,20 +378,25 @@ def repeated_starts(group: list[tuple[int, int, bytes]], length: int) -> tuple[n
     return own[first], at[first], at[last] + length
 
 
-def shared_parts(group: list[tuple[int, int, bytes]], length: int, classes: int = 4) -> list[tuple[int, int, int]]:
+def _classes(length: int, classes: int = 8) -> tuple[int, list[tuple[int, int]]]:
+    """Strings classed by how far they reach to the left of the anchor: the step, and the core that all of a class hold."""
+    side = length - ANCHOR
+    step = -(-side // classes)
+    return step, [(c * step, max(0, side - (c + 1) * step)) for c in range(-(-side // step))]
+
+
+def _cores(off: int, data: bytes, reach: list[tuple[int, int]]) -> list[tuple[int, bytes]]:
+    return [(c, data[off - left:off + ANCHOR + right])
+            for c, (left, right) in enumerate(reach) if off >= left and off + ANCHOR + right <= len(data)]
+
+
+def shared_parts(group: list[tuple[int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
     """``(number, low, high)`` of the fragments, and of their bytes, that can hold a string found in another one too.
 
-    Strings are classed by how far they reach to the left of the anchor. All strings of a
-    class hold the same core around it, so equal strings need equal cores.
+    Equal strings need equal cores.
     """
-    side = length - ANCHOR
-    step = -(-side // classes)
-    reach = [(c * step, max(0, side - (c + 1) * step)) for c in range(classes)]
-    cores = [
-        [(anchor, c, data[off - left:off + ANCHOR + right])
-         for c, (left, right) in enumerate(reach) if off >= left and off + ANCHOR + right <= len(data)]
-        for anchor, off, data in group
-    ]
+    step, reach = _classes(length)
+    cores = [[(anchor, c, core) for c, core in _cores(off, data, reach)] for anchor, off, data in group]
     count = Counter(core for own in cores for core in own)
     out = []
     for i, (_, off, data) in enumerate(group):
@@ -474,19 +479,36 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, hot: int = 1000, shar
         .groupBy("shard").applyInArrow(induced, "anchor bigint, frag bigint, a int, b int")
     )
 
+    step, reach = _classes(length)
+    crowded = cut.where(F.col("kinds") > hot)
+    core_spec, string_spec = "anchor bigint, frag bigint, class int, core bigint", "anchor bigint, frag bigint, a int, shift int, string binary"
+    (_, core_schema), (_, string_schema) = arrow_schema(core_spec), arrow_schema(string_spec)
+
+    def cores(batches):
+        for batch in batches:
+            rows = [(r["anchor"], r["frag"], c, _number(core)) for r in batch.to_pylist() for c, core in _cores(r["off"], r["data"], reach)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), core_schema)], schema=core_schema)
+
     def strings(batches):
         for batch in batches:
+            rows = []
             for r in batch.to_pylist():
-                found = [(r["anchor"], r["frag"], a, a + length, a - r["off"], _digest(r["data"][a:a + length]))
-                         for a in range(len(r["data"]) - length + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (
-                    pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["anchor", "frag", "a", "b", "shift", "string"])
-
-    # A string may hold an anchor at several offsets, as all its copies do; so copies are counted for each offset.
-    listed = cut.where(F.col("kinds") > hot).mapInArrow(strings, "anchor bigint, frag bigint, a int, b int, shift int, string binary")
-    listed = stored(listed, "strings")
+                lefts = {left for c in r["classes"] for left in range(c * step, (c + 1) * step + 1)}
+                rows += [(r["anchor"], r["frag"], r["off"] - left, -left, _digest(r["data"][r["off"] - left:r["off"] - left + length]))
+                         for left in lefts if 0 <= r["off"] - left <= len(r["data"]) - length]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), string_schema)], schema=string_schema)
+
+    # Only strings whose core is shared are listed. A string may hold an anchor at several offsets, as all
+    # its copies do; so copies are counted for each offset.
+    listed_cores = crowded.select("anchor", "frag", "off", "data").mapInArrow(cores, core_spec)
+    often = listed_cores.groupBy("anchor", "class", "core").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    kept = listed_cores.join(often, ["anchor", "class", "core"]).groupBy("anchor", "frag").agg(F.collect_list("class").alias("classes"))
+    listed = stored(
+        crowded.join(kept, ["anchor", "frag"]).select("anchor", "frag", "off", "data", "classes").mapInArrow(strings, string_spec), "strings")
     twice = listed.groupBy("anchor", "shift", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    busy = listed.join(twice, ["anchor", "shift", "string"]).select("anchor", "frag", "a", "b")
+    busy = listed.join(twice, ["anchor", "shift", "string"]).select("anchor", "frag", "a", (F.col("a") + length).alias("b"))
     whole = kinds.where("n > 1").select("anchor", "frag", F.lit(0).alias("a"), F.lit(-1).alias("b"))
     marks = stored(whole.union(normal).union(busy).groupBy("anchor", "frag").agg(F.collect_set(F.struct("a", "b")).alias("m")), "marks")
     end = F.when(F.col("m.b") < 0, F.col("high") + length).otherwise(F.col("low") + F.col("m.b"))
