@@ -106,6 +106,37 @@ def test_markov_models_tell_random_from_plain():
     assert found.is_random("q7Zt0xKp3VbN9rLw2YhD") and not found.is_random("international_configuration_2024")
 
 
+def test_base_secrets_against_regex():
+    """The contract's rules read word for word, on random strings of the signs that matter."""
+    assign = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    rules = (("assign", assign, lambda m: len(m[1]) >= 8), ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
+             ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 32))
+    rng = np.random.default_rng(22)
+    parts = ["password", "Passwd", "SECRET", "token", "apikey", "api_KEY", "AKIA", "AKIAAKIA", "=", ": ", '"', "'", " ", ".", "é", "ſecret",
+             "K", "\n", "0123456789abcdef" * 2, "0a1b", "ABCDEFGH12", "x/+_=-.9", "G", "token='", "secret: \"", "KEY"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, rng.integers(0, 14)))
+        want = [(k, *m.span()) for k, rule, good in rules for m in re.finditer(rule, text) if good(m)]
+        assert secrets.base_spans(text) == want, text
+
+
+def test_random_keys_are_found_and_identifiers_left(make_docs, shared):
+    words = sorted({w for r in tables(shared, "documents")[0].select("text").collect() for w in re.findall("[A-Za-z]{3,}", r["text"] or "")})
+    rng = np.random.default_rng(23)
+    joins = ("_".join, "-".join, "/".join, lambda p: p[0] + "".join(x.title() for x in p[1:]), lambda p: "_".join(p).upper(),
+             lambda p: "_".join(p) + str(rng.integers(0, 2100)))
+    names = [joins[i % 6]([w.lower() for w in rng.choice(words, rng.integers(2, 5))]) for i in range(1200)]
+    signs = secrets.SIGNS
+    kinds = (signs[:62], signs[:64], signs[:52], signs[26:52], "0123456789abcdef", signs[26:62])
+    keys = ["".join(rng.choice(list(kinds[i % 6]), 12 + i % 20)) for i in range(600)]  # hex stays below 32
+    prose = [" ".join(rng.choice(words, 600)) for _ in range(400)]
+    docs = make_docs([*enumerate(prose), *((1000 + i, f"see {x} here") for i, x in enumerate(names)), *((5000 + i, f"see {x} here") for i, x in enumerate(keys))])
+    added = {r["doc_id"]: r["n_added"] for r in secrets.detect(docs).collect()}
+    assert sum(added[1000 + i] for i in range(1200)) < 0.01 * 1200 and sum(added[i] for i in range(400)) < 1e-4 * 400 * 600
+    for kind in range(6):
+        assert np.mean([added[5000 + i] == 1 for i in range(600) if i % 6 == kind]) >= 0.9
+
+
 def test_base_personal_data_against_regex():
     patterns = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
