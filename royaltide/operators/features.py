@@ -50,7 +50,11 @@ def _scaled(recent: DataFrame) -> Column:
 
 def popularity(plays: DataFrame, songs: DataFrame, as_of: str, days: int = 90) -> DataFrame:
     """Recent plays per song and their 0..100 score; silent songs get 0."""
-    recent = _recent_counts(plays, as_of, days)
+    return scaled_popularity(_recent_counts(plays, as_of, days), songs)
+
+
+def scaled_popularity(recent: DataFrame, songs: DataFrame) -> DataFrame:
+    """Popularity of all songs from the recent plays of those that have any."""
     scored = recent.withColumn("song_popularity_score", _scaled(recent))
     return (
         songs.select("song_id")

@@ -1,8 +1,12 @@
 """Feature queries."""
 
+import datetime
+
 from royaltide.operators import features as X
+from royaltide.operators import rolling as R
 from royaltide.plans.common import AS_OF_TIME, Catalogue, sql_cents, sql_money, sql_round
-from royaltide.session import scratch_path
+from royaltide.session import durable, scratch_path
+from royaltide.sources import partitioned as D
 from royaltide.sources.files import replace_table
 
 CAT = Catalogue()
@@ -147,3 +151,36 @@ def _(t):
 )
 def _(t):
     return X.histograms(_assembled(t), _MEASURES)
+
+
+@CAT.add("popularity_by_date", f"WITH {_POPULAR} SELECT * FROM popular")
+def _(t):
+    """Plays stored by date; the dates before the window are not read."""
+    path = scratch_path(t.spark, "plays")
+    D.write_plays(t.performance_logs, path)
+    recent = D.recent_plays(t.spark, path, AS_OF_TIME, DAYS)
+    return X.popularity(recent, t.songs, AS_OF_TIME, DAYS)
+
+
+ROLLED = 7
+
+
+@CAT.add(
+    "rolling_popularity",
+    f"""WITH recent AS (SELECT song_id, count(*) AS n FROM {{performance_logs}}
+        WHERE play_timestamp >= TIMESTAMP '{AS_OF_TIME}' - INTERVAL {ROLLED} DAY AND play_timestamp < TIMESTAMP '{AS_OF_TIME}'
+        GROUP BY song_id)
+    SELECT s.song_id, coalesce(n, 0) AS play_count_90d,
+           coalesce({sql_round("CAST(n - (SELECT min(n) FROM recent) AS DOUBLE) / ((SELECT max(n) FROM recent) - (SELECT min(n) FROM recent)) * 100", 2)}, 0) AS song_popularity_score
+    FROM {{songs}} s LEFT JOIN recent USING (song_id)""",
+)
+def _(t):
+    """A window of a week, started five days before the day of the report and moved on day by day."""
+    path = scratch_path(t.spark, "daily-plays")
+    R.store_days(t.performance_logs, path)
+    end = datetime.date.fromisoformat(AS_OF_TIME[:10])
+    days = [str(end - datetime.timedelta(n)) for n in range(5, -1, -1)]
+    counts = durable(R.window_counts(t.spark, path, days[0], ROLLED))
+    for before, after in zip(days, days[1:]):
+        counts = durable(R.advance(counts, path, before, after, ROLLED))
+    return R.rolling_popularity(counts, t.songs)

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from royaltide.operators.guardrails import RateLimit
 from royaltide.plans.common import Catalogue, sql_round, sql_time
 from royaltide.session import scratch_path
+from royaltide.sources import partitioned as D
 from royaltide.streaming import ingest as I
 from royaltide.streaming import live as V
+from royaltide.streaming.upsert import upsert_stream
 
 CAT = Catalogue()
 
@@ -120,3 +122,16 @@ def _(t):
     limit = RateLimit("user_hour", 1, "requester", "HOUR")
     decided = _drained(t, V.rate_limit_stream(_usage_stream(t), limit), "limited")
     return decided.select("client_request_id", "admitted")
+
+
+@CAT.add(
+    "stream_upsert",
+    """SELECT requester, client_request_id, status_code FROM {endpoint_usage}
+       QUALIFY row_number() OVER (PARTITION BY requester ORDER BY request_time DESC, client_request_id DESC) = 1""",
+)
+def _(t):
+    """The last request of every user, kept from a stream; the second run finds nothing new."""
+    path, offsets = scratch_path(t.spark, "last"), scratch_path(t.spark, "offsets")
+    for _ in range(2):
+        upsert_stream(_usage_stream(t), path, offsets, ["requester"], ["request_time", "client_request_id"], buckets=16)
+    return D.current(t.spark, path).select("requester", "client_request_id", "status_code")
