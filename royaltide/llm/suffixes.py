@@ -22,16 +22,19 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from royaltide.llm.common import arrow_schema, doc_texts, map_slices, stored
 
 LENGTH, ANCHOR = 200, 64
-PIECE = 1 << 20
+#: Bytes that are looked at together; the arrays over them stay in a core's cache.
+PIECE = 1 << 16
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -264,13 +267,10 @@ def anchors(data: bytes, ends: np.ndarray, length: int = LENGTH) -> tuple[np.nda
     return at[good], h[at[good]].view(np.int64), begin[good], end[good]
 
 
-def _digest(data: bytes, size: int = 16) -> bytes:
-    return hashlib.blake2b(data, digest_size=size).digest()
-
-
-def _number(data: bytes) -> int:
-    """A 64-bit digest as a long."""
-    return int.from_bytes(_digest(data, 8), "little", signed=True)
+def _numbers(parts, seeds=None) -> np.ndarray:
+    """64-bit digests as longs."""
+    seeds = seeds if seeds is not None else repeat(0)
+    return np.array([xxhash.xxh3_64_intdigest(part, seed) for part, seed in zip(parts, seeds)], dtype=np.uint64).view(np.int64)
 
 
 def _raw(text: str) -> bytes:
@@ -321,26 +321,27 @@ def repeated_anchors(rows: DataFrame, length: int) -> DataFrame:
 
 
 def anchor_table(rows: DataFrame, length: int) -> DataFrame:
-    """``(text_key, size, at, low, high, anchor, frag)`` for every anchor.
+    """``(text_key, size, place, anchor, frag)`` for every anchor.
 
-    Its strings start at ``low`` to ``high``; ``frag`` stands for the bytes of the fragment and the offset in it.
+    ``place`` packs the first start of its strings, how far behind it the anchor and the last start are;
+    ``frag`` stands for the bytes of the fragment and the offset in it.
     """
 
     def make():
         def work(batch):
             texts = [_raw(t) for t in batch.column(1).to_pylist()]
-            keys = np.array([_number(t) if len(t) >= length else 0 for t in texts], dtype=np.int64)
+            keys = _numbers(texts)
             sizes = np.array([len(t) for t in texts], dtype=np.int32)
             out = []
             for number, hashes, at, low, high in _found(texts, length):
-                frags = [_number(bytes([p - a]) + texts[i][a:b + length])
-                         for i, p, a, b in zip(number.tolist(), at.tolist(), low.tolist(), high.tolist())]
-                out.append((keys[number], sizes[number], at, low, high, hashes, np.array(frags, dtype=np.int64)))
-            return [np.concatenate(c) for c in zip(*out)] if out else [[]] * 7
+                data = (texts[i][a:b] for i, a, b in zip(number.tolist(), low.tolist(), (high + length).tolist()))
+                out.append((keys[number], sizes[number], low << 16 | (at - low) << 8 | high - low, hashes,
+                            _numbers(data, (at - low).tolist())))
+            return [np.concatenate(c) for c in zip(*out)] if out else [[]] * 5
 
         return work
 
-    return map_slices(rows, make, "text_key bigint, size int, at int, low int, high int, anchor bigint, frag bigint")
+    return map_slices(rows, make, "text_key bigint, size int, place bigint, anchor bigint, frag bigint")
 
 
 def repeated_starts(group: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -407,20 +408,25 @@ def shared_parts(group: list[tuple[int, int, bytes]], length: int) -> list[tuple
 
 
 def fragments(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``(anchor, frag, kinds, off, data)`` of the wanted ``(text_key, size, anchor, frag, at, low, high, kinds)``."""
-    places = wanted.groupBy("text_key", "size").agg(F.collect_list(F.struct("anchor", "frag", "at", "low", "high", "kinds")).alias("places"))
-    joined = keyed_texts(rows, length).where(f"size >= {length}").drop("doc_id").join(places, ["text_key", "size"])
+    """``(anchor, frag, kinds, off, data)`` of the wanted ``(text_key, anchor, frag, place, kinds)``.
+
+    A fragment is cut only from a text in which its digest is right, so texts that share a key do no harm.
+    """
+    places = wanted.groupBy("text_key").agg(F.collect_list(F.struct("anchor", "frag", "place", "kinds")).alias("places"))
+    joined = keyed_texts(rows, length).where(f"size >= {length}").select("text_key", "text").join(places, "text_key")
     struct, schema = arrow_schema("anchor bigint, frag bigint, kinds bigint, off int, data binary")
 
     def run(batches):
         for batch in batches:
             for text, places in zip(batch.column(0), batch.column(1)):
                 raw, found = _raw(text.as_py()), places.values
-                anchor, frag, at, low, high, kinds = (found.field(c) for c in ("anchor", "frag", "at", "low", "high", "kinds"))
-                at, low = at.to_numpy(), low.to_numpy()
-                data = [raw[a:b + length] for a, b in zip(low.tolist(), high.to_pylist())]
+                anchor, frag, place, kinds = (found.field(c).to_numpy() for c in ("anchor", "frag", "place", "kinds"))
+                low, off, more = place >> 16, place >> 8 & 255, place & 255
+                data = [raw[a:b] for a, b in zip(low.tolist(), (low + more + length).tolist())]
+                right = _numbers(data, off.tolist()) == frag
                 yield pa.RecordBatch.from_arrays(
-                    [anchor, frag, kinds, pa.array(at - low), pa.array(data, pa.binary())], schema=schema)
+                    [pa.array(anchor[right]), pa.array(frag[right]), pa.array(kinds[right]), pa.array(off[right].astype(np.int32)),
+                     pa.array([d for d, r in zip(data, right.tolist()) if r], pa.binary())], schema=schema)
 
     cut = joined.select("text", "places").mapInArrow(run, struct)
     # Copies of a text each give its fragments.
@@ -433,24 +439,27 @@ def keyed_texts(rows: DataFrame, length: int) -> DataFrame:
     def make():
         def work(batch):
             raws = [_raw(t) for t in batch.column(1).to_pylist()]
-            return [batch.column(0), [_number(r) if len(r) >= length else i for i, r in enumerate(raws)], [len(r) for r in raws], batch.column(1)]
+            size = np.array([len(r) for r in raws], dtype=np.int32)
+            return [batch.column(0), np.where(size >= length, _numbers(raws), np.arange(len(raws))), size, batch.column(1)]
 
         return work
 
     return map_slices(rows, make, "doc_id bigint, text_key bigint, size int, text string")
 
 
-def repeated_ranges(rows: DataFrame, length: int = LENGTH, hot: int = 1000, shard: int = 2400) -> DataFrame:
+def repeated_ranges(rows: DataFrame, length: int = LENGTH, hot: int = 1000, shard: int = 1200) -> DataFrame:
     """``(text_key, size, spans)``: byte ranges of each text that repeated strings cover."""
-    table = stored(anchor_table(rows, length).join(repeated_anchors(rows, length), "anchor", "left_semi"), "places")
+    # The anchors of a partition are a small even share of all, so they are hashed and the places not sorted.
+    several_times = repeated_anchors(rows, length).hint("shuffle_hash")
+    table = stored(anchor_table(rows, length).join(several_times, "anchor", "left_semi"), "places")
     kinds = stored(table.groupBy("anchor", "frag").agg(
-        F.count("*").alias("n"), F.min(F.struct("text_key", "size", "at", "low", "high")).alias("first")), "fragments")
+        F.count("*").alias("n"), F.min("text_key").alias("text_key"), F.min_by("place", "text_key").alias("place")), "fragments")
     # Where every fragment occurs twice, all of them are repeated from end to end already.
     several = (
         kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("rarest"))
         .where("kinds > 1 and rarest = 1").drop("rarest")
     )
-    wanted = kinds.join(several, "anchor").select("anchor", "frag", "first.*", "kinds")
+    wanted = kinds.join(several, "anchor").select("anchor", "frag", "text_key", "place", "kinds")
     cut = stored(fragments(rows, wanted, length), "cut")
     shards = max(1, cut.where(F.col("kinds") <= hot).count() // shard)
 
@@ -486,16 +495,19 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, hot: int = 1000, shar
 
     def cores(batches):
         for batch in batches:
-            rows = [(r["anchor"], r["frag"], c, _number(core)) for r in batch.to_pylist() for c, core in _cores(r["off"], r["data"], reach)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), core_schema)], schema=core_schema)
+            found = [(r["anchor"], r["frag"], c, core) for r in batch.to_pylist() for c, core in _cores(r["off"], r["data"], reach)]
+            if found:
+                *named, parts = zip(*found)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(c, f.type) for c, f in zip(named, core_schema)), pa.array(_numbers(parts))], schema=core_schema)
 
     def strings(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             rows = []
             for r in batch.to_pylist():
                 lefts = {left for c in r["classes"] for left in range(c * step, (c + 1) * step + 1)}
-                rows += [(r["anchor"], r["frag"], r["off"] - left, -left, _digest(r["data"][r["off"] - left:r["off"] - left + length]))
+                rows += [(r["anchor"], r["frag"], r["off"] - left, -left,
+                          xxhash.xxh3_128_digest(r["data"][r["off"] - left:r["off"] - left + length]))
                          for left in lefts if 0 <= r["off"] - left <= len(r["data"]) - length]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), string_schema)], schema=string_schema)
@@ -511,10 +523,11 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, hot: int = 1000, shar
     busy = listed.join(twice, ["anchor", "shift", "string"]).select("anchor", "frag", "a", (F.col("a") + length).alias("b"))
     whole = kinds.where("n > 1").select("anchor", "frag", F.lit(0).alias("a"), F.lit(-1).alias("b"))
     marks = stored(whole.union(normal).union(busy).groupBy("anchor", "frag").agg(F.collect_set(F.struct("a", "b")).alias("m")), "marks")
-    end = F.when(F.col("m.b") < 0, F.col("high") + length).otherwise(F.col("low") + F.col("m.b"))
+    low, more = F.shiftright("place", 16), F.col("place").bitwiseAND(F.lit(255))
+    end = F.when(F.col("m.b") < 0, low + more + length).otherwise(low + F.col("m.b"))
     return (
-        table.join(marks, ["anchor", "frag"]).select("text_key", "size", "low", "high", F.explode("m").alias("m"))
-        .select("text_key", "size", (F.col("low") + F.col("m.a")).alias("a"), end.alias("b"))
+        table.join(marks, ["anchor", "frag"]).select("text_key", "size", "place", F.explode("m").alias("m"))
+        .select("text_key", "size", (low + F.col("m.a")).cast("int").alias("a"), end.cast("int").alias("b"))
         .groupBy("text_key", "size").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     )
 
