@@ -592,6 +592,8 @@ def get_platform_performance(
             | matches_text("title", search_term)
             | matches_text("artist_name", search_term)
         )
+        # Plays of other songs leave before they are counted.
+        plays = plays.join(songs.select("song_id"), "song_id", "left_semi")
     kept = plays.where(optional_eq("platform", filter_platform))
     return _platforms(songs, kept).select(*PLATFORM_COLUMNS).orderBy(
         F.desc("total_plays"), "platform"

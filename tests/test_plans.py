@@ -37,5 +37,18 @@ def test_scans_read_needed_columns_only(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    assert "PushedFilters: [IsNotNull(l_returnflag)" in plan(spark, "payment_notifications") or (
-        "PushedFilters" in plan(spark, "payment_notifications"))
+    scans = [part.split("PushedFilters: ")[1].split("]")[0] for part in plan(spark, "daily_volume").split("FileScan")[1:]]
+    assert any("GreaterThanOrEqual(ts," in s for s in scans), scans
+
+
+def test_a_term_cuts_plays_before_they_are_counted(spark):
+    from royaltide.operators import lookups as L
+    from royaltide.plans.common import Tables
+
+    t = Tables(spark, SMALL)
+    tree = L.get_platform_performance(t.songs, t.performance_logs, "red")._jdf.queryExecution().optimizedPlan().toString()
+    # The first aggregate over the plays stands above the semi join.
+    assert "LeftSemi" in tree
+    lines = tree.splitlines()
+    semi = next(i for i, line in enumerate(lines) if "LeftSemi" in line)
+    assert any("Aggregate [platform" in line or "Aggregate [event_type" in line for line in lines[:semi])
