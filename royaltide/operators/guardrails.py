@@ -136,6 +136,8 @@ class RateLimit:
     period: str = "MINUTE"
 
 
+#: Largest rank that Spark turns into a limit of each task (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
 # Default limits.
 RATE_LIMITS = (
     RateLimit("user_minute", 10, "requester", "MINUTE"),
@@ -154,7 +156,7 @@ def rate_limit(
     """Admit or throttle each request under several fixed-window limits.
 
     Adds one flag per limit and ``admitted``. A window is never gathered whole:
-    its n-th request is found with a per-task top-n, and every request is then
+    its n-th request is found with a per-task top-n (above GROUP_LIMIT calls a top-n per salt), and every request is then
     compared with that cut-off. The cut-offs are repeated per salt, so a busy
     window is spread over ``salts`` tasks in the comparing join.
     """
@@ -163,9 +165,15 @@ def rate_limit(
         window = F.date_trunc(limit.period, F.col(time_col))
         place = F.struct(F.col(time_col), F.col(id_col))
         order = W.partitionBy("_key", "_window").orderBy(time_col, id_col)
+        early = requests.select(F.col(limit.key).alias("_key"), window.alias("_window"), time_col, id_col)
+        if limit.calls > GROUP_LIMIT:
+            # Beyond this Spark cuts no rows ahead of the window: each salt passes on its first rows only.
+            part = W.partitionBy("_key", "_window", "_salt").orderBy(time_col, id_col)
+            early = (
+                early.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)))
+                .withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= limit.calls).drop("_salt", "_rank"))
         cutoffs = (
-            requests.select(F.col(limit.key).alias("_key"), window.alias("_window"), time_col, id_col)
-            .withColumn("_rank", F.row_number().over(order))
+            early.withColumn("_rank", F.row_number().over(order))
             .where(F.col("_rank") <= limit.calls)
             .groupBy("_key", "_window")
             .agg(F.max(place).alias("_last"), F.count(F.lit(1)).alias("_n"))

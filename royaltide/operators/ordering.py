@@ -120,7 +120,8 @@ def spread_join(
     if how not in ("inner", "left"):
         raise ValueError("spread_join supports inner and left")
     sizes = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    total = facts.agg(F.count(F.lit(1))).scalar()
+    # From the same reduced rows, so the facts are counted once.
+    total = sizes.agg(F.sum("_rows")).scalar()
     hot = sizes.where(F.col("_rows") > total * F.lit(hot_fraction)).select(
         *on, F.lit(True).alias("_hot")
     )

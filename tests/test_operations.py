@@ -82,6 +82,22 @@ def test_rate_limit_against_a_plain_count(spark):
         assert got[i]["admitted"] == (got[i]["user"] and got[i]["all"])
 
 
+def test_a_large_limit_cuts_by_salt_first(spark, monkeypatch):
+    start = datetime.datetime(2024, 1, 1)
+    data = [(i, start + datetime.timedelta(seconds=i % 50, milliseconds=i % 7), "busy" if i % 3 else "b", "e") for i in range(4000)]
+    frame = spark.createDataFrame(data, "client_request_id int, request_time timestamp, requester string, served_entity_id string")
+    limits = (G.RateLimit("user", 1500, "requester", "MINUTE"), G.RateLimit("all", 2100, "served_entity_id", "HOUR"))
+    got = rows(G.rate_limit(frame, limits).select("client_request_id", "user", "all"))
+    order = sorted(data, key=lambda r: (r[1], r[0]))
+    rank, seen = {}, {}
+    for n, r in enumerate(order):
+        seen[r[2]] = seen.get(r[2], 0) + 1
+        rank[r[0]] = (r[0], seen[r[2]] <= 1500, n < 2100)
+    assert got == sorted(rank.values(), key=repr)
+    monkeypatch.setattr(G, "GROUP_LIMIT", 5000)
+    assert rows(G.rate_limit(frame, limits).select("client_request_id", "user", "all")) == got
+
+
 def test_split_traffic_is_stable(spark):
     df = spark.range(5000).select(F.col("id"), F.lit(200).alias("status_code"), F.lit(1.0).alias("execution_time_ms"))
     got = {r["arm"]: r["requests"] for r in G.split_traffic(df, "id", {"a": 90, "b": 10}).collect()}
