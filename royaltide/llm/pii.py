@@ -253,7 +253,9 @@ def _plausible(kind: str, piece: str) -> bool:
     if kind == "email":
         return "@" in piece[1:-1] and not re.search(r"\s", piece)
     low, high = {"ip": (4, 12), "card": (13, 19), "phone": (7, 15)}[kind]
-    return low <= digits <= high and not re.search(r"[^0-9+(). -]", piece)
+    if not low <= digits <= high or re.search(r"[^0-9+(). -]", piece):
+        return False
+    return kind != "card" or luhn(_digits(piece))
 
 
 def added_spans(tagger: Tagger, texts: list[str], known: list[list[Span]], block: int = 1024) -> list[list[Span]]:

@@ -137,6 +137,12 @@ def test_random_keys_are_found_and_identifiers_left(make_docs, shared):
         assert np.mean([added[5000 + i] == 1 for i in range(600) if i % 6 == kind]) >= 0.9
 
 
+def test_added_cards_pass_their_check_digit():
+    assert pii._plausible("card", "4111 1111 1111 1111") and pii._plausible("card", "378282246310005")
+    assert not pii._plausible("card", "4111 1111 1111 1112") and not pii._plausible("card", "1234567890123")
+    assert not pii._plausible("ip", "1.2.x.4") and pii._plausible("phone", "+44 20 7946 0018")
+
+
 def test_base_personal_data_against_regex():
     patterns = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
