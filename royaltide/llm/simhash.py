@@ -121,7 +121,7 @@ def near_duplicates(
 # --- near copies by shingle similarity ------------------------------------------------
 
 #: A first word of 64 bits stands for the whole in buckets: pairs up to LOOSE bits are verified, TIGHT ones are as good as equal.
-LOOSE, TIGHT, SMALL = 19, 6, 64
+LOOSE, TIGHT, SMALL = 18, 6, 64
 
 
 def shingles(text: str, width: int) -> tuple[bytes, np.ndarray]:
@@ -235,8 +235,10 @@ def near_copies(
 
     Texts of equal words are one class. Fingerprints wide enough for the similarity are cut into segments, whose
     equal values (balls of radius 0: with many narrow segments, fewer rows than larger balls in few) give the pairs;
-    the first word of the fingerprints, then the exact similarity of the shingles verify them. Pairs at the limit
-    meet with probability ``recall``, closer ones more often; no link is made below the limit.
+    the first word of the fingerprints, then their complete distance, then the exact similarity of the shingles verify
+    them. Pairs at the limit meet with probability ``recall``, closer ones more often; no link is made below the limit.
+    Before components are sought, each text goes to the smallest it is linked with, so that of the links of
+    a crowd few are left.
     """
     rows = doc_texts(docs, id_col, text_col)
 
@@ -259,29 +261,42 @@ def near_copies(
         rows.where("doc_id is not null").join(classes.select("node", F.col("smallest").alias("doc_id")), "doc_id")
         .groupBy("node").agg(F.min("text").alias("text")))
 
-    def entries():
-        lows = np.arange(segments)[:, None] * bits + np.arange(bits)
-        weights = np.int64(1) << np.arange(bits, dtype=np.int64)
-
+    def prints():
         def work(batch):
-            nodes, out, first = [], [], []
+            nodes, codes = [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 _, hashes = shingles(text, width)
-                if not len(hashes):
-                    continue
-                code = wide_fingerprint(hashes, wide)
-                values = np.unpackbits(code.view(np.uint8))[lows] @ weights
-                out.append(values + (np.arange(segments, dtype=np.int64) << np.int64(bits)))
-                nodes.append(node)
-                first.append(code[0])
-            flat = np.concatenate(out) if out else np.empty(0, dtype=np.int64)
-            return [flat, np.repeat(np.array(nodes, dtype=np.int64), segments), np.repeat(np.array(first, dtype=np.uint64), segments).view(np.int64)]
+                if len(hashes):
+                    nodes.append(node)
+                    codes.append(wide_fingerprint(hashes, wide).view(np.int64))
+            return [nodes, codes]
 
         return work
 
+    def entries(batches):
+        at = np.arange(segments)[:, None] * bits + np.arange(bits)
+        weights, place = np.int64(1) << np.arange(bits, dtype=np.int64), np.arange(segments, dtype=np.int64) << np.int64(bits)
+        for batch in batches:
+            codes = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, wide)
+            for cut in range(0, batch.num_rows, 1000):
+                part = codes[cut:cut + 1000]
+                values = np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1)[:, at] @ weights + place
+                nodes = batch.column(0).slice(cut, len(part)).to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values.ravel()), pa.array(np.repeat(nodes, segments)), pa.array(np.repeat(part[:, 0], segments))],
+                    names=["key", "node", "word"])
+
     texts = stored(texts, "copy-texts")
-    buckets = map_slices(texts, entries, "key bigint, node bigint, word bigint")
+    codes = stored(map_slices(texts, prints, "node bigint, code array<bigint>"), "copy-codes")
+    buckets = codes.mapInArrow(entries, "key bigint, node bigint, word bigint")
     found = buckets.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates, "a bigint, b bigint").distinct()
+    # Four standard deviations beyond the share of bits in which a pair at the limit differs.
+    apart = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    most = int(64 * wide * apart + 4 * np.sqrt(64 * wide * apart * (1 - apart)))
+    differ = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    found = (
+        found.join(codes.select(F.col("node").alias("a"), F.col("code").alias("p")), "a")
+        .join(codes.select(F.col("node").alias("b"), F.col("code").alias("q")), "b").where(differ <= most).select("a", "b"))
 
     def alike(batches):
         for batch in batches:
@@ -298,10 +313,18 @@ def near_copies(
     paired = (
         found.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b"))
-    verified = paired.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint")
-    joined = connected_components(verified).join(classes.select("node", "smallest"), "node")
-    lowest = joined.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    labels = classes.join(joined.select("node", "component").join(lowest, "component"), "node", "left").select(
+    verified = stored(paired.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint"), "copy-links")
+    both = verified.union(verified.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("m")), "copy-leads")
+    leads = (
+        verified.join(least.select(F.col("node").alias("a"), F.col("m").alias("x")), "a")
+        .join(least.select(F.col("node").alias("b"), F.col("m").alias("y")), "b")
+        .select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct())
+    joined = connected_components(leads).withColumnRenamed("node", "m")
+    groups = least.join(joined, "m", "left").select("node", F.coalesce("component", "m").alias("component"))
+    smallest = groups.join(classes.select("node", "smallest"), "node")
+    lowest = smallest.groupBy("component").agg(F.min("smallest").alias("component_id"))
+    labels = classes.join(groups.join(lowest, "component"), "node", "left").select(
         "words", F.coalesce("component_id", "smallest").alias("component_id"))
     return named.join(labels, "words").select("doc_id", "component_id")
 
