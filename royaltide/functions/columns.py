@@ -17,19 +17,25 @@ def as_col(value: Column | str) -> Column:
 # --- money -----------------------------------------------------------------
 
 
-def cents(value: Column | str) -> Column:
-    """Amount in cents as an exact decimal, so that sums do not depend on order; not rounded."""
-    return as_col(value).try_cast("decimal(28, 9)") * F.lit(100)
+def micros(value: Column | str) -> Column:
+    """Amount in millionths as a long, so that sums are quick and do not depend on order.
+
+    What is no finite number is NULL. A sum beyond nine trillion is an error, never a wrong number.
+    """
+    amount = as_col(value).try_cast("double")
+    whole = F.floor(amount)
+    part = F.round((amount - whole) * F.lit(1_000_000)).cast("bigint")
+    return F.when(F.abs(amount) < F.lit(float("inf")), whole * F.lit(1_000_000) + part)
 
 
-def money(total_cents: Column) -> Column:
-    """A sum of cents as an amount, rounded to the cent here and only here."""
-    return F.round(total_cents).cast("double") / F.lit(100)
+def money(total_micros: Column) -> Column:
+    """A sum of millionths as an amount, rounded to the cent here and only here."""
+    return F.round(total_micros.cast("decimal(20, 0)") / F.lit(1_000_000), 2).cast("double")
 
 
 def money_sum(value: Column | str) -> Column:
     """Sum of an amount; parts below a cent count, the sum is rounded once."""
-    return money(F.sum(cents(value)))
+    return money(F.sum(micros(value)))
 
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:

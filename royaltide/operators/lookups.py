@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from royaltide.functions.columns import (
-    cents,
+    micros,
     is_absent,
     matches_text,
     money,
@@ -176,7 +176,7 @@ def _licensing_of(
         .groupBy("song_id", "license_type", "territory")
         .agg(
             F.count(F.lit(1)).alias("_n"),
-            F.sum(cents("fee_amount")).alias("_fee"),
+            F.sum(micros("fee_amount")).alias("_fee"),
             F.count_if(active).alias("_active"),
         )
     )
@@ -244,9 +244,9 @@ def _earnings_of(matched: DataFrame, payments: DataFrame, keys: Sequence[str] =
         payments.join(matched.select("songwriter_id").distinct(), "songwriter_id", "left_semi")
         .groupBy("songwriter_id", "payment_period", "song_id")
         .agg(
-            F.sum(cents("gross_amount")).alias("_gross"),
-            F.sum(cents("deductions")).alias("_ded"),
-            F.sum(cents("net_amount")).alias("_net"),
+            F.sum(micros("gross_amount")).alias("_gross"),
+            F.sum(micros("deductions")).alias("_ded"),
+            F.sum(micros("net_amount")).alias("_net"),
             F.count(F.lit(1)).alias("_n"),
         )
     )
@@ -298,9 +298,9 @@ PARTS = ("_gross", "_ded", "_net", "_n")
 def _writer_totals(payments: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Payments per song and writer; spreads a hot song over its writers."""
     return payments.groupBy(*keys, "song_id", "songwriter_id").agg(
-        F.sum(cents("gross_amount")).alias("_gross"),
-        F.sum(cents("deductions")).alias("_ded"),
-        F.sum(cents("net_amount")).alias("_net"),
+        F.sum(micros("gross_amount")).alias("_gross"),
+        F.sum(micros("deductions")).alias("_ded"),
+        F.sum(micros("net_amount")).alias("_net"),
         F.count(F.lit(1)).alias("_n"),
     )
 
@@ -414,7 +414,7 @@ def _overview(
         F.count_distinct("genre").alias("total_genres"),
     )
     paid = payments.groupBy("song_id").agg(
-        F.sum(cents("gross_amount")).alias("_gross"), F.sum(cents("net_amount")).alias("_net")
+        F.sum(micros("gross_amount")).alias("_gross"), F.sum(micros("net_amount")).alias("_net")
     )
     revenue = (
         scoped.select("_scope", "song_id", "genre", "artist_name")
@@ -501,7 +501,7 @@ def _territories(licenses: DataFrame, as_of: str) -> DataFrame:
     cells = licenses.groupBy("territory", "license_type", "licensee_name").agg(
         F.count(F.lit(1)).alias("_n"),
         F.count("fee_amount").alias("_fees"),
-        F.sum(cents("fee_amount")).alias("_fee"),
+        F.sum(micros("fee_amount")).alias("_fee"),
         F.count_if(active).alias("_active"),
     )
     stats = cells.groupBy("territory").agg(
