@@ -216,7 +216,7 @@ def _local(degree: int, schema: pa.Schema):
         both, both_new = np.c_[ahead, behind], np.c_[ahead_new, behind_new]
         upper = np.ones((wide, wide + back), dtype=bool)
         upper[:, :wide] = np.triu(np.ones((wide, wide), dtype=bool), 1)
-        kept, held = [], 0
+        kept, held, room = [], 0, 500_000
         step = max(1, CELLS // (wide * (wide + back)))
 
         def reduced(parts):
@@ -235,9 +235,11 @@ def _local(degree: int, schema: pa.Schema):
                 pair = (f[g, i], m[g, j])
                 kept.append((pair[a], pair[b], score[g, i, j]))
                 held += len(g)
-            if held > 500_000:
+            if held > room:
                 kept = reduced(kept)
                 held = len(kept[0][0])
+                # What stays is sorted again only after as much has come anew.
+                room = 2 * held + 500_000
         node, cand, sim = reduced(kept)[0]
         return _as_lists(ids[node], key[0].as_py(), ids[cand], sim, np.ones(len(node), dtype=bool), schema)
 
@@ -288,7 +290,7 @@ def build(coded: DataFrame, n: int, degree: int, cell: int, first: int, least: f
 
 # --- search --------------------------------------------------------------------------
 
-_BEAM = "q bigint, dim int, ids array<bigint>, sims array<float>, opened array<boolean>"
+_BEAM = "q bigint, dim int, code binary, ids array<bigint>, sims array<float>, opened array<boolean>"
 
 
 def _open(beam: int, schema: pa.Schema):
@@ -311,50 +313,56 @@ def _open(beam: int, schema: pa.Schema):
             parts.append((ids[best], sims[best], opened[best]))
         offsets = pa.array(np.r_[0, np.cumsum([len(p[0]) for p in parts])].astype(np.int32))
         columns = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c), type=f.type.value_type))
-                   for c, f in zip(zip(*parts), list(schema)[2:])]
+                   for c, f in zip(zip(*parts), list(schema)[3:])]
         dims = pa.array(np.full(len(parts), key[0].as_py(), dtype=np.int32))
-        return pa.table([asked.column("q").combine_chunks(), dims, *columns], schema=schema)
+        return pa.table([asked.column("q").combine_chunks(), dims, asked.column("code").combine_chunks(), *columns], schema=schema)
 
     return work
 
 
-def search(starts: DataFrame, lists: DataFrame, coded: DataFrame, beam: int, rounds: int, block_queries: int) -> DataFrame:
-    """``q, dim, ids, sims, opened``: the beam of every node ``starts(q)`` in the end."""
+def search(
+    starts: DataFrame, lists: DataFrame, coded: DataFrame, beam: int, rounds: int, block_queries: int, least: float,
+) -> DataFrame:
+    """The beams in the end of every node ``starts(q)``: ``q, ids``, the most similar first.
+
+    Rounds end when fewer nodes than ``least`` a query are left to open.
+    """
     _, schema = arrow_schema(_BEAM)
-    spark = coded.sparkSession
-    blocks = max(spark.sparkContext.defaultParallelism, -(-starts.count() // block_queries))
-    aims = coded.select(F.col("node").alias("q"), "dim", "code").join(starts, "q")
+    n = starts.count()
+    blocks = max(coded.sparkSession.sparkContext.defaultParallelism, -(-n // block_queries))
     none = F.array()
-    asked = aims.join(lists.select(F.col("node").alias("q"), "cands"), "q", "left").select(
-        "q", "dim", "code", none.cast("array<bigint>").alias("ids"), none.cast("array<float>").alias("sims"),
-        none.cast("array<boolean>").alias("opened"),
-        F.concat(F.array("q"), F.coalesce("cands", none.cast("array<bigint>"))).alias("cands"))
+    asked = (
+        coded.select(F.col("node").alias("q"), "dim", "code").join(starts, "q")
+        .join(lists.select(F.col("node").alias("q"), "cands"), "q", "left").select(
+            "q", "dim", "code", none.cast("array<bigint>").alias("ids"), none.cast("array<float>").alias("sims"),
+            none.cast("array<boolean>").alias("opened"),
+            F.concat(F.array("q"), F.coalesce("cands", none.cast("array<bigint>"))).alias("cands")))
     nodes = coded.select("node", "code")
+    closed = F.filter(F.arrays_zip("ids", "opened"), lambda e: ~e["opened"])
     for _ in range(rounds):
         asked = asked.withColumn("block", _number(F.col("q"), blocks))
         needed = asked.select("dim", "block", F.explode("cands").alias("node")).distinct()
         found = stored(
             asked.groupBy("dim", "block").cogroup(_apart(needed.join(nodes, "node")).groupBy("dim", "block"))
             .applyInArrow(_open(beam, schema), _BEAM), "graph-beams")
-        closed = F.filter(F.arrays_zip("ids", "opened"), lambda e: ~e["opened"])
-        front = found.select("q", F.explode(closed).alias("e")).select("q", F.col("e.ids").alias("node"))
-        if front.isEmpty():
+        left = found.agg(F.sum(F.size(closed))).first()[0] or 0
+        if left <= least * n:
             break
+        front = found.select("q", F.explode(closed).alias("e")).select("q", F.col("e.ids").alias("node"))
         fetched = (
             front.join(lists.select("node", "cands"), "node").groupBy("q")
             .agg(F.array_distinct(F.flatten(F.collect_list("cands"))).alias("cands")))
         # Queries without anything left to open stay as they are.
-        asked = (
-            found.join(aims.select("q", "code"), "q").join(fetched, "q", "left")
-            .select("q", "dim", "code", "ids", "sims", F.transform("opened", lambda o: F.lit(True)).alias("opened"),
-                    F.coalesce("cands", none.cast("array<bigint>")).alias("cands")))
-    return found
+        asked = found.join(fetched, "q", "left").select(
+            "q", "dim", "code", "ids", "sims", F.transform("opened", lambda o: F.lit(True)).alias("opened"),
+            F.coalesce("cands", none.cast("array<bigint>")).alias("cands"))
+    return found.select("q", "ids")
 
 
 def nearest(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", step: int = 20, k: int = 20,
     degree: int = 48, beam: int = 96, tables: int = 16, cell: int = 512, first: int = 12, least: float = 0.01,
-    rounds: int = 12, search_rounds: int = 30, block_bytes: int = 128 << 20, block_queries: int = 4_096, seed: int = 37,
+    rounds: int = 12, search_rounds: int = 30, unopened: float = 0.2, block_bytes: int = 128 << 20, block_queries: int = 4_096, seed: int = 37,
 ) -> DataFrame:
     """The ``k`` nearest rows found for every row whose id ``step`` divides."""
     rows = pick(vectors, vec_id=id_col, vector=vector_col)
@@ -370,7 +378,7 @@ def nearest(
     by_id = W.partitionBy("node").orderBy("vec_id")
     members = placed.distinct().withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= k + 1).drop("place")
     queries = placed.where(F.col("vec_id") % step == 0).select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")).distinct()
-    beams = search(queries.select("q").distinct(), lists, coded, beam, search_rounds, block_queries)
+    beams = search(queries.select("q").distinct(), lists, coded, beam, search_rounds, block_queries, unopened)
     near = beams.select("q", F.explode(F.slice("ids", 1, k + 12)).alias("node"))
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, p: s + p)
     scored = (
