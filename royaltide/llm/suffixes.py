@@ -521,13 +521,14 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, hot: int = 1000, shar
         crowded.join(kept, ["anchor", "frag"]).select("anchor", "frag", "off", "data", "classes").mapInArrow(strings, string_spec), "strings")
     twice = listed.groupBy("anchor", "shift", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     busy = listed.join(twice, ["anchor", "shift", "string"]).select("anchor", "frag", "a", (F.col("a") + length).alias("b"))
-    whole = kinds.where("n > 1").select("anchor", "frag", F.lit(0).alias("a"), F.lit(-1).alias("b"))
-    marks = stored(whole.union(normal).union(busy).groupBy("anchor", "frag").agg(F.collect_set(F.struct("a", "b")).alias("m")), "marks")
+    whole = kinds.where("n > 1").select("anchor", "frag", F.lit(0).alias("a"), F.lit(3 * length).alias("b"))
+    # All strings of a fragment hold its anchor, so together they cover one range.
+    marks = stored(whole.union(normal).union(busy).groupBy("anchor", "frag").agg(F.min("a").alias("a"), F.max("b").alias("b")), "marks")
     low, more = F.shiftright("place", 16), F.col("place").bitwiseAND(F.lit(255))
-    end = F.when(F.col("m.b") < 0, low + more + length).otherwise(low + F.col("m.b"))
     return (
-        table.join(marks, ["anchor", "frag"]).select("text_key", "size", "place", F.explode("m").alias("m"))
-        .select("text_key", "size", (low + F.col("m.a")).cast("int").alias("a"), end.cast("int").alias("b"))
+        table.join(marks, ["anchor", "frag"])
+        .select("text_key", "size", (low + F.col("a")).cast("int").alias("a"),
+                (low + F.least("b", more + length)).cast("int").alias("b"))
         .groupBy("text_key", "size").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     )
 
