@@ -224,15 +224,15 @@ def vector_topk(
     query_id: str = "query_id",
     query_vec: str = "query_vector",
     columns: Sequence[str] = (),
-    shard_rows: int = 50_000,
+    shards: int | None = None,
     block_queries: int = BLOCK_QUERIES,
 ) -> DataFrame:
     """The ``k`` items with the highest dot product for every query, exactly.
 
     Vectors of unit length make this the cosine. Items and queries meet in (index shard, query
     block) pairs of bounded size; each pair is one matrix product in slices and passes on only
-    its own k best per query, so scored pairs never reach a shuffle. There are at least as
-    many shards as cores.
+    its own k best per query, so scored pairs never reach a shuffle. There are as many shards
+    as shuffle partitions, at least one a core; the items are not counted for it.
     """
     keep = list(dict.fromkeys([id_col, *columns]))
     queries = queries.select(F.col(query_id), F.col(query_vec))
@@ -241,20 +241,20 @@ def vector_topk(
     fields += [index.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())]
     schema = T.StructType(fields)
 
-    partial = _blocked(items, queries, schema, id_col, vec_col, keep, query_id, query_vec, k, shard_rows, block_queries)
+    partial = _blocked(items, queries, schema, id_col, vec_col, keep, query_id, query_vec, k, shards, block_queries)
     order = W.partitionBy(query_id).orderBy(F.desc("score"), F.asc(id_col))
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _blocked(
-    items, queries, schema, id_col, vec_col, keep, query_id, query_vec, k, shard_rows, block_queries
+    items, queries, schema, id_col, vec_col, keep, query_id, query_vec, k, shards, block_queries
 ) -> DataFrame:
     """Partial top-k over (index shard, query block) pairs.
 
-    Shards and blocks come from a hash of the unique ids, so all are of like
-    size; both counts follow from the table sizes.
+    Shards and blocks come from a hash of the unique ids, so all are of like size.
     """
-    shards = max(items.sparkSession.sparkContext.defaultParallelism, -(-items.count() // shard_rows))
+    spark = items.sparkSession
+    shards = shards or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = max(1, -(-queries.count() // block_queries))
 
     def number(key: str, count: int) -> Column:

@@ -32,7 +32,7 @@ def test_topk_equals_brute_force_with_many_copies(spark, block_queries):
     wanted, queries = _vectors(spark, 12, 16, 2)
     wanted[0] = items[0]
     queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(wanted)], "query_id long, query_vector array<double>")
-    got = S.vector_topk(index.repartition(5), queries, 7, block_queries=block_queries, shard_rows=100)
+    got = S.vector_topk(index.repartition(5), queries, 7, block_queries=block_queries, shards=20)
     assert sorted((r["query_id"], r["vec_id"], r["rank"]) for r in got.collect()) == _brute(items, wanted, 7)
     big = S.vector_topk(index, queries, 1000, block_queries=block_queries)
     assert big.count() == 12 * 400
