@@ -120,8 +120,8 @@ def near_duplicates(
 
 # --- near copies by shingle similarity ------------------------------------------------
 
-#: A first word of 64 bits stands for the whole in buckets: pairs up to LOOSE bits are verified, TIGHT ones are as good as equal.
-LOOSE, TIGHT, SMALL = 18, 6, 64
+#: A first word of 64 bits stands for the whole in buckets: pairs up to LOOSE bits may be verified, TIGHT ones are likely links.
+LOOSE, TIGHT, SMALL, LEADERS = 18, 8, 64, 2
 
 
 def shingles(text: str, width: int) -> tuple[bytes, np.ndarray]:
@@ -170,8 +170,8 @@ def _bucket_edges(nodes: np.ndarray, word: np.ndarray, start: np.ndarray, size:
     """Pairs of a sorted table of buckets that are to be verified.
 
     A row that is TIGHT to an earlier one of its bucket is covered. Each row is paired with the
-    first that covers it and with all uncovered rows up to LOOSE bits away, so that a crowd of near
-    copies gives a few pairs a row, not all.
+    first row that covers it and with the first LEADERS uncovered ones up to LOOSE bits away, so that a crowd of near
+    copies gives a few pairs a row, mostly the same ones in every bucket, and not all pairs.
     """
     out = []
 
@@ -185,10 +185,10 @@ def _bucket_edges(nodes: np.ndarray, word: np.ndarray, start: np.ndarray, size:
         first = tight.argmax(2)
         g, i = np.nonzero(covered)
         out.append(np.c_[nodes[row[g, i]], nodes[row[g, first[g, i]]]])
-        near = (apart <= LOOSE) & ~covered[:, None, :] & (earlier | covered[:, :, None])
+        near = (apart <= LOOSE) & ~covered[:, None, :] & earlier
+        near &= np.cumsum(near, axis=2, dtype=np.int16) <= LEADERS
         g, i, j = np.nonzero(near)
-        keep = row[g, i] != row[g, j]
-        out.append(np.c_[nodes[row[g, i]], nodes[row[g, j]]][keep])
+        out.append(np.c_[nodes[row[g, i]], nodes[row[g, j]]])
 
     for width in (2, 4, 8, 16, 32, SMALL):
         these = (size <= width) & (size > width // 2)
@@ -199,21 +199,24 @@ def _bucket_edges(nodes: np.ndarray, word: np.ndarray, start: np.ndarray, size:
             pairs(np.where(there, begin[:, None] + np.arange(width), 0), there)
     for begin, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
         leaders = np.empty(0, dtype=np.int64)
-        for at in range(begin, begin + n, 512):
-            rows = np.arange(at, min(at + 512, begin + n))
-            free = np.ones(len(rows), dtype=bool)
-            for k in range(0, len(leaders), 4096):
-                some = leaders[k:k + 4096]
-                apart = np.bitwise_count(word[rows][:, None] ^ word[some][None, :])
-                i, j = np.nonzero(apart <= LOOSE)
-                out.append(np.c_[nodes[rows[i]], nodes[some[j]]])
-                free &= ~(apart <= TIGHT).any(1)
-            rest = rows[free]
-            if not len(rest):
-                continue
-            pairs(rest[None, :], np.ones((1, len(rest)), dtype=bool))
-            apart = np.bitwise_count(word[rest][:, None] ^ word[rest][None, :])
-            leaders = np.r_[leaders, rest[~((apart <= TIGHT) & np.tril(np.ones(apart.shape, dtype=bool), -1)).any(1)]]
+        at = begin
+        while at < begin + n:
+            # So many rows that their distances to all leaders fit a few megabytes.
+            rows = np.arange(at, min(at + max(1, min(512, (1 << 21) // (len(leaders) + 512))), begin + n))
+            at += len(rows)
+            # The leaders before this part, then the part itself.
+            all_rows = np.r_[leaders, rows]
+            apart = np.bitwise_count(word[rows][:, None] ^ word[all_rows][None, :])
+            earlier = all_rows[None, :] < rows[:, None]
+            tight = (apart <= TIGHT) & earlier
+            covered = tight.any(1)
+            out.append(np.c_[nodes[rows[covered]], nodes[all_rows[tight.argmax(1)[covered]]]])
+            uncovered = np.r_[np.ones(len(leaders), dtype=bool), ~covered]
+            near = (apart <= LOOSE) & earlier & uncovered[None, :]
+            near &= np.cumsum(near, axis=1) <= LEADERS
+            i, j = np.nonzero(near)
+            out.append(np.c_[nodes[rows[i]], nodes[all_rows[j]]])
+            leaders = np.r_[leaders, rows[~covered]]
     return out
 
 
