@@ -244,38 +244,28 @@ def near_copies(
     a crowd few are left.
     """
     rows = doc_texts(docs, id_col, text_col)
-
-    def keys():
-        def work(batch):
-            joined = [b" ".join(t.encode("utf-8", "surrogatepass").lower().split()) for t in batch.column(1).to_pylist()]
-            return [batch.column(0), [hashlib.blake2b(j, digest_size=16).digest() for j in joined]]
-
-        return work
-
-    named = stored(map_slices(rows, keys, "doc_id bigint, words binary"), "copies")
-    classes = stored(
-        named.groupBy("words").agg(F.min("doc_id").alias("smallest"))
-        .select(F.monotonically_increasing_id().alias("node"), "words", "smallest"), "copy-classes")
-    bits, segments = plan_segments(classes.count(), similarity, recall)
+    bits, segments = plan_segments(rows.count(), similarity, recall)
     wide = -(-bits * segments // 64)
 
-    # One text of each class; the digest of its words finds it.
-    texts = (
-        rows.where("doc_id is not null").join(classes.select("node", F.col("smallest").alias("doc_id")), "doc_id")
-        .groupBy("node").agg(F.min("text").alias("text")))
-
     def prints():
         def work(batch):
-            nodes, codes = [], []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                _, hashes = shingles(text, width)
-                if len(hashes):
-                    nodes.append(node)
-                    codes.append(wide_fingerprint(hashes, wide).view(np.int64))
-            return [nodes, codes]
+            digests, codes = [], []
+            for text in batch.column(1).to_pylist():
+                joined, hashes = shingles(text, width)
+                digests.append(hashlib.blake2b(joined, digest_size=16).digest())
+                codes.append(wide_fingerprint(hashes, wide).view(np.int64) if len(hashes) else [])
+            return [batch.column(0), digests, codes]
 
         return work
 
+    # One scan gives all that texts are compared by at first; of the texts themselves only candidates move later.
+    marked = stored(map_slices(rows, prints, "doc_id bigint, words binary, code array<bigint>"), "copies")
+    named = marked.select("doc_id", "words")
+    classes = stored(
+        marked.groupBy("words").agg(F.min("doc_id").alias("smallest"), F.first("code").alias("code"))
+        .select(F.monotonically_increasing_id().alias("node"), "words", "smallest", "code"), "copy-classes")
+    codes = classes.where("smallest is not null and size(code) > 0").select("node", "code")
+
     def entries(batches):
         at = np.arange(segments)[:, None] * bits + np.arange(bits)
         weights, place = np.int64(1) << np.arange(bits, dtype=np.int64), np.arange(segments, dtype=np.int64) << np.int64(bits)
@@ -289,17 +279,29 @@ def near_copies(
                     [pa.array(values.ravel()), pa.array(np.repeat(nodes, segments)), pa.array(np.repeat(part[:, 0], segments))],
                     names=["key", "node", "word"])
 
-    texts = stored(texts, "copy-texts")
-    codes = stored(map_slices(texts, prints, "node bigint, code array<bigint>"), "copy-codes")
     buckets = codes.mapInArrow(entries, "key bigint, node bigint, word bigint")
     found = buckets.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates, "a bigint, b bigint").distinct()
     # Four standard deviations beyond the share of bits in which a pair at the limit differs.
     apart = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     most = int(64 * wide * apart + 4 * np.sqrt(64 * wide * apart * (1 - apart)))
     differ = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    found = (
+    found = stored(
         found.join(codes.select(F.col("node").alias("a"), F.col("code").alias("p")), "a")
-        .join(codes.select(F.col("node").alias("b"), F.col("code").alias("q")), "b").where(differ <= most).select("a", "b"))
+        .join(codes.select(F.col("node").alias("b"), F.col("code").alias("q")), "b").where(differ <= most).select("a", "b"), "copy-pairs")
+    asked = (
+        found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+        .join(classes.select("node", "words", F.col("smallest").alias("doc_id")), "node"))
+
+    def same_words(batches):
+        for batch in batches:
+            right = [hashlib.blake2b(b" ".join(t.encode("utf-8", "surrogatepass").lower().split()), digest_size=16).digest() == w
+                     for t, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield batch.select(["node", "text"]).filter(pa.array(right, pa.bool_()))
+
+    # An id may stand for several texts; the one of the class counts, once.
+    texts = stored(
+        rows.join(asked, "doc_id").select("node", "text", "words").mapInArrow(same_words, "node bigint, text string")
+        .dropDuplicates(["node"]), "copy-texts")
 
     def alike(batches):
         for batch in batches:
