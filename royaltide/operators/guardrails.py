@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from royaltide.functions.columns import any_of, hash_bucket, percent
+from royaltide.operators.ordering import spread_join
 
 
 @dataclass(frozen=True)
@@ -156,9 +157,10 @@ def rate_limit(
     """Admit or throttle each request under several fixed-window limits.
 
     Adds one flag per limit and ``admitted``. A window is never gathered whole:
-    its n-th request is found with a per-task top-n (above GROUP_LIMIT calls a top-n per salt), and every request is then
-    compared with that cut-off. The cut-offs are repeated per salt, so a busy
-    window is spread over ``salts`` tasks in the comparing join.
+    its first n + 1 requests are found with a per-task top-n (above GROUP_LIMIT calls a top-n per salt), and only a
+    window that has so many gives a cut-off, so cut-offs are fewer than the requests by the factor n + 1.
+    Every request is then compared with the cut-off of its window; that of a busy window is repeated
+    per salt, so its requests are spread over ``salts`` tasks.
     """
     out = requests
     for limit in limits:
@@ -166,41 +168,27 @@ def rate_limit(
         place = F.struct(F.col(time_col), F.col(id_col))
         order = W.partitionBy("_key", "_window").orderBy(time_col, id_col)
         early = requests.select(F.col(limit.key).alias("_key"), window.alias("_window"), time_col, id_col)
-        if limit.calls > GROUP_LIMIT:
+        first = limit.calls + 1
+        if first > GROUP_LIMIT:
             # Beyond this Spark cuts no rows ahead of the window: each salt passes on its first rows only.
             part = W.partitionBy("_key", "_window", "_salt").orderBy(time_col, id_col)
             early = (
                 early.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)))
-                .withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= limit.calls).drop("_salt", "_rank"))
+                .withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= first).drop("_salt", "_rank"))
         cutoffs = (
             early.withColumn("_rank", F.row_number().over(order))
-            .where(F.col("_rank") <= limit.calls)
+            .where(F.col("_rank") <= first)
             .groupBy("_key", "_window")
-            .agg(F.max(place).alias("_last"), F.count(F.lit(1)).alias("_n"))
-            # A window with fewer requests than the limit cannot throttle.
-            .where(F.col("_n") == limit.calls)
-            .select(
-                "_key", "_window", "_last",
-                F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
-            )
-        )
-        salted = out.withColumns(
-            {
-                "_w": window,
-                "_s": F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int"),
-            }
-        )
-        joined = salted.join(
-            cutoffs,
-            F.col(limit.key).eqNullSafe(F.col("_key"))
-            & (F.col("_w") == F.col("_window"))
-            & (F.col("_s") == F.col("_salt")),
-            "left",
+            .agg(F.max(F.when(F.col("_rank") <= limit.calls, place)).alias("_last"), F.count(F.lit(1)).alias("_n"))
+            # Only a window with more requests than the limit can throttle.
+            .where(F.col("_n") == first)
+            .select(F.struct(F.col("_key").alias("k")).alias("_k"), F.col("_window").alias("_w"), "_last")
         )
+        # Inside a struct null keys are equal, as they are in the windows.
+        keyed = out.withColumns({"_k": F.struct(F.col(limit.key).alias("k")), "_w": window})
+        joined = spread_join(keyed, cutoffs, ["_k", "_w"], [id_col], salts=salts)
         within = F.col("_last").isNull() | (place <= F.col("_last"))
-        out = joined.withColumn(limit.name, within).drop(
-            "_w", "_s", "_key", "_window", "_last", "_salt"
-        )
+        out = joined.withColumn(limit.name, within).drop("_k", "_w", "_last")
     admitted = reduce(lambda a, b: a & b, [F.col(x.name) for x in limits])
     return out.withColumn("admitted", admitted)
 

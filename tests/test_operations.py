@@ -1,5 +1,6 @@
 import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,3 +217,43 @@ def test_stream_limit_equals_batch_limit(spark, tmp_path):
         out = _drain(spark, V.rate_limit_stream(stream, limit), tmp_path, "limited")
     want = G.rate_limit(requests, [limit]).select("client_request_id", "admitted")
     assert rows(out.select("client_request_id", "admitted")) == rows(want)
+
+
+def test_only_windows_over_a_limit_give_cutoffs(spark, monkeypatch):
+    sent, join = [], G.spread_join
+    monkeypatch.setattr(G, "spread_join", lambda facts, keyed, *a, **k: sent.append(keyed) or join(facts, keyed, *a, **k))
+    start = datetime.datetime(2024, 1, 1)
+    times = [(i, start + datetime.timedelta(minutes=m), user) for i, (m, user) in enumerate([(0, "a"), (1, "a"), (2, None), (2, None), (3, "b")])]
+    frame = spark.createDataFrame(times, "client_request_id int, request_time timestamp, requester string")
+    got = rows(G.rate_limit(frame, [G.RateLimit("user", 1, "requester", "MINUTE")]).select("client_request_id", "user"))
+    assert got == [(0, True), (1, True), (2, True), (3, False), (4, True)]
+    assert sent[0].count() == 1
+
+
+def test_a_group_of_the_stream_limit_writes_its_state_once():
+    class Handle:
+        calls, state = 0, None
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            return self.state
+
+        def update(self, value):
+            self.calls, self.state = self.calls + 1, value
+
+        def registerTimer(self, time):
+            self.calls += 1
+
+    start = pd.Timestamp("2024-01-01")
+    batch = pd.DataFrame({
+        "client_request_id": range(200), "requester": [i % 100 for i in range(200)], "request_time": start, "part_number": 0,
+        "key_text": [str(i % 100) for i in range(200)], "window_number": 7, "hour_number": 7, "group_number": 0})
+    handle = Handle()
+    step = V._Admit(1, "request_time", "client_request_id", True)
+    step.init(handle)
+    out = pd.concat(step.handleInputRows((7, 0, 0), iter([batch[:150], batch[150:]]), None)).sort_values("client_request_id")
+    assert out["admitted"].tolist() == [i < 100 for i in range(200)]
+    assert handle.calls == 2 and sum(handle.state[2]) == 100
+    assert not pd.concat(step.handleInputRows((7, 0, 0), iter([batch]), None))["admitted"].any()
