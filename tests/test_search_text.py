@@ -129,3 +129,19 @@ def test_sync_embeds_changed_rows_only(spark):
     marked = S.sync_index(index, source, "k", ["t"], "t", backend=lambda texts: [[9.0]] * len(texts))
     got = {r["k"]: (r["t"], r["embedding"] == [9.0]) for r in marked.collect()}
     assert got == {1: ("a", False), 2: ("bb", True), 4: ("d", True)}
+
+
+def test_items_stay_where_they_are_for_one_block_of_queries(spark):
+    _, index = _vectors(spark, 60, 8, 5)
+    queries = index.where("vec_id < 4").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    plan = S.vector_topk(index, queries, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan
+
+
+def test_other_columns_of_a_song_move_once(spark):
+    songs = spark.createDataFrame([(1, "x", "7,8"), (1, "x", "7,8"), (2, "y", "7"), (3, "z", None)], "song_id int, title string, songwriters string")
+    writers = spark.createDataFrame([(7, "B", "P"), (8, "A", "P")], "songwriter_id int, name string, pro_affiliation string")
+    out = S.attach_writers(songs, writers)
+    assert rows(out) == [(1, "x", "7,8", "A, A, B, B", "P"), (2, "y", "7", "B", "P")]
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("title" in line for line in text.split("\n") if "Generate " in line)
