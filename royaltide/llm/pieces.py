@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import uuid
 from array import array
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from royaltide.llm.common import doc_texts, map_slices
 SPACE = "▁"
 CHUNK = re.compile(r" *[^ ]+| +$")
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBER = 200_000
+REMEMBER = 400_000
 
 
 def load_pieces(model_file: str = DEFAULT_MODEL) -> list[tuple[str, float, str]]:
@@ -47,13 +48,14 @@ def load_pieces(model_file: str = DEFAULT_MODEL) -> list[tuple[str, float, str]]
 class Transducer:
     def __init__(self, pieces: list[tuple[str, float, str]]) -> None:
         self.final = {p: (-s, i) for i, (p, s, kind) in enumerate(pieces) if kind == "piece"}
-        # Piece trie: a state maps the next character to a state, and "" to the arc of a piece that ends there.
+        # Piece trie: a state maps the next character to the state behind it and the cost and id of the piece that ends there.
         self.trie: dict = {}
-        for piece, arc in self.final.items():
+        for piece, (cost, number) in self.final.items():
             state = self.trie
-            for sign in piece:
-                state = state.setdefault(sign, {})
-            state[""] = arc
+            for sign in piece[:-1]:
+                state = state.setdefault(sign, ({}, float("inf"), -1))[0]
+            behind = state[piece[-1]][0] if piece[-1] in state else {}
+            state[piece[-1]] = (behind, cost, number)
         self.pairs = {p[i:i + 2] for p in self.final for i in range(len(p) - 1)}
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == "byte"}
         if len(self.bytes) < 256:
@@ -71,24 +73,34 @@ class Transducer:
     def shortest(self, text: str) -> list[int]:
         """Ids of the cheapest path through one run of normalised characters."""
         n, trie, by_bytes = len(text), self.trie, self.by_bytes
-        cost, back = [0.0] + [float("inf")] * n, [(0, ())] * (n + 1)
+        # The arc that ends at a place: where it starts and its piece, -1 for the bytes of one character.
+        cost, start, arc = [0.0] + [float("inf")] * n, [0] * (n + 1), [-1] * (n + 1)
         for i in range(n):
-            here, state = cost[i], trie
-            for j in range(i, n):
-                state = state.get(text[j])
-                if state is None:
+            here, state, j = cost[i], trie, i
+            while j < n:
+                found = state.get(text[j])
+                if found is None:
+                    break
+                state, more, number = found
+                j += 1
+                more += here
+                if more < cost[j]:
+                    cost[j], start[j], arc[j] = more, i, number
+                if not state:
                     break
-                arc = state.get("")
-                if arc is not None and here + arc[0] < cost[j + 1]:
-                    cost[j + 1], back[j + 1] = here + arc[0], (i, (arc[1],))
             if here + by_bytes < cost[i + 1]:
-                raw = text[i].encode("utf-8", "surrogatepass")
-                if here + by_bytes * len(raw) < cost[i + 1]:
-                    cost[i + 1], back[i + 1] = here + by_bytes * len(raw), (i, tuple(self.spell(text[i])))
+                length = len(text[i].encode("utf-8", "surrogatepass"))
+                if here + by_bytes * length < cost[i + 1]:
+                    cost[i + 1], start[i + 1], arc[i + 1] = here + by_bytes * length, i, -1
         out: list[int] = []
         while n:
-            n, ids = back[n]
-            out[:0] = ids
+            i = start[n]
+            if arc[n] >= 0:
+                out.append(arc[n])
+            else:
+                out.extend(reversed(self.spell(text[i])))
+            n = i
+        out.reverse()
         return out
 
     def spell(self, text: str) -> list[int]:
@@ -103,6 +115,9 @@ class Transducer:
             for part in re.split(f"({SPACE})", chunk):
                 ids += self.spell(part) if part == SPACE else array("i", self._chunk(part)) if part else []
             return array("i", ids).tobytes()
+        if self.pairs.issuperset(map(add, text, text[1:])):
+            # One part, which the caller remembers.
+            return array("i", self.shortest(text)).tobytes()
         for i in range(1, len(text) + 1):
             if i == len(text) or text[i - 1:i + 1] not in self.pairs:
                 part = text[start:i]

@@ -241,3 +241,13 @@ def test_context_tree_against_brute_force(make_docs):
         assert math.isclose(got[i]["score"], want, rel_tol=1e-9)
         base = sum(math.log10((count[w] + .1) / (n + .1 * (v + 1))) for w in ws)
         assert math.isclose(got[i]["base_score"], base, rel_tol=1e-9) and got[i]["n_tokens"] == len(ws)
+
+
+def test_a_chunk_without_cuts_is_remembered_once():
+    from royaltide.llm import pieces as P
+
+    fst = P.Transducer([("▁", -5.0, "piece"), ("a", -3.0, "piece"), ("▁a", -4.0, "piece"), ("ab", -2.0, "piece"), ("b", -3.0, "piece")]
+                       + [(f"<0x{b:02X}>", 0.0, "byte") for b in range(256)])
+    ids, same = fst.encode("ab ab")
+    assert same and ids.tolist() == [2, 4, 2, 4]
+    assert list(fst.known) == [" ab"] and not fst.parts
