@@ -246,7 +246,7 @@ def test_context_tree_against_brute_force(make_docs):
 def test_a_chunk_without_cuts_is_remembered_once():
     from royaltide.llm import pieces as P
 
-    fst = P.Transducer([("▁", -5.0, "piece"), ("a", -3.0, "piece"), ("▁a", -4.0, "piece"), ("ab", -2.0, "piece"), ("b", -3.0, "piece")]
+    fst = P.Transducer([("▁", -6.0, "piece"), ("a", -3.0, "piece"), ("▁a", -4.0, "piece"), ("ab", -2.0, "piece"), ("b", -3.0, "piece")]
                        + [(f"<0x{b:02X}>", 0.0, "byte") for b in range(256)])
     ids, same = fst.encode("ab ab")
     assert same and ids.tolist() == [2, 4, 2, 4]
