@@ -166,16 +166,20 @@ def plan_segments(n: int, similarity: float, recall: float) -> tuple[int, int]:
     return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - same ** bits)))
 
 
-def _bucket_edges(nodes: np.ndarray, word: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-    """Pairs of a sorted table of buckets that are to be verified.
+def _bucket_edges(
+    nodes: np.ndarray, word: np.ndarray, start: np.ndarray, size: np.ndarray
+) -> tuple[list[np.ndarray], np.ndarray]:
+    """Pairs of a sorted table of buckets that are to be verified first, and which buckets have more.
 
     A row that is TIGHT to an earlier one of its bucket is covered. Each row is paired with the
     first row that covers it and with the first LEADERS uncovered ones up to LOOSE bits away, so that a crowd of near
-    copies gives a few pairs a row, mostly the same ones in every bucket, and not all pairs.
+    copies gives a few pairs a row, mostly the same ones in every bucket, and not all pairs. A bucket that has
+    further pairs up to LOOSE bits is marked; :func:`_across` finds those that may still matter.
     """
     out = []
+    more = size > SMALL
 
-    def pairs(row: np.ndarray, there: np.ndarray) -> None:
+    def pairs(these: np.ndarray, row: np.ndarray, there: np.ndarray) -> None:
         codes = word[row]
         apart = np.bitwise_count(codes[:, :, None] ^ codes[:, None, :])
         apart[~(there[:, :, None] & there[:, None, :])] = 255
@@ -187,16 +191,21 @@ def _bucket_edges(nodes: np.ndarray, word: np.ndarray, start: np.ndarray, size:
         out.append(np.c_[nodes[row[g, i]], nodes[row[g, first[g, i]]]])
         near = (apart <= LOOSE) & ~covered[:, None, :] & earlier
         near &= np.cumsum(near, axis=2, dtype=np.int16) <= LEADERS
+        taken = near.copy()
+        g, i = np.nonzero(covered)
+        taken[g, i, first[g, i]] = True
+        more[these] = (((apart <= LOOSE) & earlier) & ~taken).any((1, 2))
         g, i, j = np.nonzero(near)
         out.append(np.c_[nodes[row[g, i]], nodes[row[g, j]]])
 
     for width in (2, 4, 8, 16, 32, SMALL):
-        these = (size <= width) & (size > width // 2)
+        fitting = np.flatnonzero((size <= width) & (size > width // 2))
         step = max(1, (1 << 20) // (width * width))
-        for at in range(0, int(these.sum()), step):
-            begin, n = start[these][at:at + step], size[these][at:at + step]
+        for at in range(0, len(fitting), step):
+            these = fitting[at:at + step]
+            begin, n = start[these], size[these]
             there = np.arange(width) < n[:, None]
-            pairs(np.where(there, begin[:, None] + np.arange(width), 0), there)
+            pairs(these, np.where(there, begin[:, None] + np.arange(width), 0), there)
     for begin, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
         leaders = np.empty(0, dtype=np.int64)
         at = begin
@@ -217,18 +226,45 @@ def _bucket_edges(nodes: np.ndarray, word: np.ndarray, start: np.ndarray, size:
             i, j = np.nonzero(near)
             out.append(np.c_[nodes[rows[i]], nodes[all_rows[j]]])
             leaders = np.r_[leaders, rows[~covered]]
-    return out
+    return out, more
 
 
 def _candidates(batches):
+    """First pairs ``(a, b)`` of the buckets, and the rows ``(key, a, word)`` of those that have more."""
     for table, start in whole_groups(batches, ["key"], 65_536):
         size = np.diff(np.r_[start, table.num_rows])
         nodes, word = table.column("node").to_numpy(), table.column("word").to_numpy().view(np.uint64)
-        found = _bucket_edges(nodes, word, start, size)
+        found, more = _bucket_edges(nodes, word, start, size)
         edges = np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
         if len(edges):
             edges = np.unique(np.sort(edges, axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+            none = pa.nulls(len(edges), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(edges[:, 0]), pa.array(edges[:, 1]), none], names=["key", "a", "b", "word"])
+        if more.any():
+            rows = table.filter(pa.array(np.repeat(more, size))).combine_chunks()
+            key, node, words = (rows.column(c).combine_chunks() for c in ("key", "node", "word"))
+            yield pa.RecordBatch.from_arrays([key, node, pa.nulls(len(key), pa.int64()), words], names=["key", "a", "b", "word"])
+
+
+def _across(batches):
+    """All pairs up to LOOSE bits of rows ``(key, part, node, word)`` in one bucket and different parts."""
+    for table, start in whole_groups(batches, ["key"], 65_536):
+        part, nodes = table.column("part").to_numpy(), table.column("node").to_numpy()
+        word = table.column("word").to_numpy().view(np.uint64)
+        for begin, end in zip(start.tolist(), [*start[1:].tolist(), table.num_rows]):
+            # Rows are sorted by part: each meets the rows of earlier parts only.
+            firsts = np.r_[begin, begin + 1 + np.flatnonzero(np.diff(part[begin:end])), end]
+            for low, high in zip(firsts[1:-1].tolist(), firsts[2:].tolist()):
+                step = max(1, (1 << 21) // (low - begin))
+                for at in range(low, high, step):
+                    # So many rows that their distances fit a few megabytes, or one with slices of the earlier ones.
+                    rows = np.arange(at, min(at + step, high))
+                    for there in range(begin, low, 1 << 21):
+                        other = np.arange(there, min(there + (1 << 21), low))
+                        i, j = np.nonzero(np.bitwise_count(word[rows][:, None] ^ word[other][None, :]) <= LOOSE)
+                        if len(i):
+                            edges = np.sort(np.c_[nodes[rows[i]], nodes[other[j]]], axis=1)
+                            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
 
 
 def near_copies(
@@ -241,7 +277,8 @@ def near_copies(
     the first word of the fingerprints, then their complete distance, then the exact similarity of the shingles verify
     them. Pairs at the limit meet with probability ``recall``, closer ones more often; no link is made below the limit.
     Before components are sought, each text goes to the smallest it is linked with, so that of the links of
-    a crowd few are left.
+    a crowd few are left. Crowded buckets give a few pairs a row at first; then all their pairs between
+    different groups of the first links are verified too, so that no link that could join groups is left out.
     """
     rows = doc_texts(docs, id_col, text_col)
     bits, segments = plan_segments(rows.count(), similarity, recall)
@@ -280,17 +317,13 @@ def near_copies(
                     names=["key", "node", "word"])
 
     buckets = codes.mapInArrow(entries, "key bigint, node bigint, word bigint")
-    found = buckets.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates, "a bigint, b bigint").distinct()
+    met = stored(
+        buckets.repartition("key").sortWithinPartitions("key", "node")
+        .mapInArrow(_candidates, "key bigint, a bigint, b bigint, word bigint"), "copy-meetings")
     # Four standard deviations beyond the share of bits in which a pair at the limit differs.
     apart = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     most = int(64 * wide * apart + 4 * np.sqrt(64 * wide * apart * (1 - apart)))
     differ = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    found = stored(
-        found.join(codes.select(F.col("node").alias("a"), F.col("code").alias("p")), "a")
-        .join(codes.select(F.col("node").alias("b"), F.col("code").alias("q")), "b").where(differ <= most).select("a", "b"), "copy-pairs")
-    asked = (
-        found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-        .join(classes.select("node", "words", F.col("smallest").alias("doc_id")), "node"))
 
     def same_words(batches):
         for batch in batches:
@@ -298,11 +331,6 @@ def near_copies(
                      for t, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield batch.select(["node", "text"]).filter(pa.array(right, pa.bool_()))
 
-    # An id may stand for several texts; the one of the class counts, once.
-    texts = stored(
-        rows.join(asked, "doc_id").select("node", "text", "words").mapInArrow(same_words, "node bigint, text string")
-        .dropDuplicates(["node"]), "copy-texts")
-
     def alike(batches):
         for batch in batches:
             keep = []
@@ -315,18 +343,41 @@ def near_copies(
                 keep.append(shared >= similarity * (len(known[a]) + len(known[b]) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    paired = (
-        found.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b"))
-    verified = stored(paired.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint"), "copy-links")
-    both = verified.union(verified.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("m")), "copy-leads")
-    leads = (
-        verified.join(least.select(F.col("node").alias("a"), F.col("m").alias("x")), "a")
-        .join(least.select(F.col("node").alias("b"), F.col("m").alias("y")), "b")
-        .select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct())
-    joined = connected_components(leads).withColumnRenamed("node", "m")
-    groups = least.join(joined, "m", "left").select("node", F.coalesce("component", "m").alias("component"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        found = stored(
+            pairs.join(codes.select(F.col("node").alias("a"), F.col("code").alias("p")), "a")
+            .join(codes.select(F.col("node").alias("b"), F.col("code").alias("q")), "b").where(differ <= most).select("a", "b"), "copy-pairs")
+        asked = (
+            found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+            .join(classes.select("node", "words", F.col("smallest").alias("doc_id")), "node"))
+        # An id may stand for several texts; the one of the class counts, once.
+        texts = stored(
+            rows.join(asked, "doc_id").select("node", "text", "words").mapInArrow(same_words, "node bigint, text string")
+            .dropDuplicates(["node"]), "copy-texts")
+        paired = (
+            found.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b"))
+        return stored(paired.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint"), "copy-links")
+
+    def grouped(linked: DataFrame) -> DataFrame:
+        both = linked.union(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("m")), "copy-leads")
+        leads = (
+            linked.join(least.select(F.col("node").alias("a"), F.col("m").alias("x")), "a")
+            .join(least.select(F.col("node").alias("b"), F.col("m").alias("y")), "b")
+            .select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct())
+        joined = connected_components(leads).withColumnRenamed("node", "m")
+        return least.join(joined, "m", "left").select("node", F.coalesce("component", "m").alias("component"))
+
+    first = verified(met.where("key is null").select("a", "b").distinct())
+    groups = stored(grouped(first), "copy-groups")
+    crowded = met.where("key is not null").select("key", F.col("a").alias("node"), "word")
+    rest = (
+        crowded.join(groups, "node", "left").select("key", F.coalesce("component", "node").alias("part"), "node", "word")
+        .repartition("key").sortWithinPartitions("key", "part", "node").mapInArrow(_across, "a bigint, b bigint").distinct()
+        .join(met.where("key is null").select("a", "b").distinct(), ["a", "b"], "left_anti"))
+    # The groups found stand for their links.
+    groups = grouped(verified(rest).union(groups.where("node <> component").select("node", "component")))
     smallest = groups.join(classes.select("node", "smallest"), "node")
     lowest = smallest.groupBy("component").agg(F.min("smallest").alias("component_id"))
     labels = classes.join(groups.join(lowest, "component"), "node", "left").select(

@@ -191,6 +191,36 @@ def test_near_copies_against_all_pairs(make_docs):
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_crowded_buckets_lose_no_link_between_groups():
+    """A row whose only partner comes after many closer-looking ones still meets it; against all pairs of each bucket."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(23)
+    buckets = []
+    for n in (2, 3, 7, 40, 64, 90, 700):
+        seeds = rng.integers(0, 2**63, 1 + n // 20)
+        buckets.append([int(rng.choice(seeds)) ^ sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 10), False)) for _ in range(n)])
+    rows = [(key, node, word) for key, words in enumerate(buckets) for node, word in enumerate(words, 1000 * key)]
+    place = {node: i for i, (_, node, _) in enumerate(rows)}
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["key", "node", "word"])
+    met = pa.Table.from_batches(list(simhash._candidates([batch]))).to_pylist()
+    first = [(place[r["a"]], place[r["b"]]) for r in met if r["key"] is None]
+
+    def alike(a, b):  # a rule the fingerprints cannot know
+        return (rows[a][1] * 7 + rows[b][1] * 7) % 11 == 0
+
+    links = [p for p in first if alike(*p)]
+    group = components(len(rows), links)
+    again = sorted((r["key"], group[place[r["a"]]], r["a"], r["word"]) for r in met if r["key"] is not None)
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*again)], names=["key", "part", "node", "word"])
+    rest = [(place[a], place[b]) for out in simhash._across([batch]) for a, b in zip(*(c.to_pylist() for c in out.columns))]
+    assert all(group[a] != group[b] for a, b in rest)
+    everything = [(i, j) for i, x in enumerate(rows) for j, y in enumerate(rows[:i])
+                  if x[0] == y[0] and (x[2] ^ y[2]).bit_count() <= simhash.LOOSE and alike(i, j)]
+    want = components(len(rows), everything)
+    assert components(len(rows), links + [p for p in rest if alike(*p)]) == want != group
+
+
 def test_segments_follow_the_number_of_texts():
     for n in (2, 10**4, 10**6, 10**9):
         bits, segments = simhash.plan_segments(n, 0.8, 0.95)
