@@ -99,7 +99,10 @@ def enrich_with_fallback(
     is the writer and the seed's own title and artist stay. Missing codes,
     dates and lengths are drawn from ``key``, so a rerun gives the same values.
     """
-    found = records.where(F.col("is_match") & (F.size("writers") > 0)).select(
+    # The filter stands behind a one-row explode: pushed into the records, it would parse each of them once more per column it reads.
+    fields = F.struct(*[F.col(c) for c in dict.fromkeys((key, "title", "artist", "writers", "isrc", "release_date", "duration_seconds", "is_match"))])
+    whole = records.select(F.explode_outer(F.array(fields)).alias("_record"))
+    found = whole.where(F.col("_record.is_match") & (F.size("_record.writers") > 0)).select("_record.*").select(
         key,
         F.col("title").alias("_title"),
         F.col("artist").alias("_artist"),

@@ -127,3 +127,15 @@ def test_replace_table_may_read_its_own_target(spark, tmp_path):
     replace_table(spark.read.parquet(path).withColumn("twice", F.col("id") * 2), path)
     assert spark.read.parquet(path).agg(F.sum("twice")).first()[0] == 20
     assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_a_record_is_parsed_once_when_seeds_are_filled(spark):
+    seeds = spark.createDataFrame([(1, "a", "x", "g"), (2, "b", "y", "g")], "seed_id long, title string, artist string, genre string")
+    text = ('{"recording-list": [{"title": "T"}], "work-relation-list": [{"type": "performance", "work": '
+            '{"artist-relation-list": [{"type": "writer", "artist": {"name": "W"}}]}}]}')
+    raw = spark.createDataFrame([(1, "a", "x", text), (2, "b", "y", "{}")], "seed_id long, title string, artist string, record string")
+    filled = R.enrich_with_fallback(seeds, R.normalise_records(raw, "record", "title", "artist"), "2020-01-01")
+    plan = filled._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+    assert rows(filled.select("seed_id", "title", "artist_name", "writers", "is_matched")) == [
+        (1, "T", "x", ["W"], True), (2, "b", "y", ["y"], False)]
