@@ -189,3 +189,30 @@ def test_shares_of_many_writers_do_not_depend_on_order(spark):
         [("S", "T", ",".join(f"W{i}" for i in range(len(parts))))], "song_id string, title string, songwriters string")
     got = {r["songwriter_id"]: r["split_percentage"] for r in L.calculate_royalty_split(songs, writers, "S", 100.0).collect()}
     assert got["W0"] == 3.38
+
+
+def test_song_search_sorts_few_songs_of_a_block(spark, data):
+    from royaltide.functions.tablefuncs import term_weights
+    from royaltide.operators.search import embed
+
+    songs = [(i, None if i % 5 == 0 else f"T{i % 7}", f"A{i % 3}", "g", None, f"find w{i % 11} w{i % 4} w{i % 4}") for i in range(600)]
+    songs += [songs[7], songs[7], (None, "T", "A", "g", "n", "w3 w3"), (900, "x", "y", "g", "n", "zz"), (901, "x", "y", "g", "n", None)]
+    index = spark.createDataFrame(songs, "song_id long, title string, artist_name string, genre string, songwriter_names string, metadata_text string")
+    asked = spark.createDataFrame([("find w3",), ("W3, w3 w1!",), ("",), (None,), ("nothing",)], "q string")
+    views = {**data, "songs": index.selectExpr("*", "'' AS isrc_code", "'' AS songwriters"), "song_terms": term_weights(index.coalesce(1))}
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    asked.createOrReplaceTempView("asked_songs")
+    register(spark)
+    got = spark.sql("SELECT a.q, s.* FROM asked_songs a, LATERAL search_song_catalog(a.q) s").collect()
+    vector = {r["q"]: r["embedding"] for r in embed(asked, "q", 256).collect()}
+    text = {r["song_id"]: r["embedding"] for r in embed(index, "metadata_text", 256).collect()}
+    times = {i: 3 if i == 7 else 1 for i in text}
+    for (q,) in [tuple(r) for r in asked.collect()]:
+        dots = {i: round(times[i] * sum(x * y for x, y in zip(v, vector[q])), 9) for i, v in text.items()} if q else {}
+        want = sorted(((-d, -1 if i is None else i) for i, d in dots.items() if d > 0))[:10]
+        assert sorted((-r["similarity_score"], -1 if r["song_id"] is None else r["song_id"]) for r in got if r["q"] == q) == want
+    # Before, the view had a row per song and word, all pairs of which were grouped by query and song.
+    assert spark.table("song_terms").count() <= 8
+    for name in views:
+        spark.catalog.dropTempView(name)
