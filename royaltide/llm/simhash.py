@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from royaltide.llm.common import doc_texts, map_slices, q, stored, whole_groups
+from royaltide.llm.common import doc_texts, map_slices, q, slices, stored, whole_groups
 from royaltide.llm.components import connected_components
 
 BITS = 64
@@ -121,7 +121,7 @@ def near_duplicates(
 # --- near copies by shingle similarity ------------------------------------------------
 
 #: A first word of 64 bits stands for the whole in buckets: pairs up to LOOSE bits may be verified, TIGHT ones are likely links.
-LOOSE, TIGHT, SMALL, LEADERS = 18, 8, 64, 2
+LOOSE, TIGHT, SMALL, LEADERS, NEAREST = 18, 8, 64, 2, 4
 
 
 def shingles(text: str, width: int) -> tuple[bytes, np.ndarray]:
@@ -246,27 +246,85 @@ def _candidates(batches):
             yield pa.RecordBatch.from_arrays([key, node, pa.nulls(len(key), pa.int64()), words], names=["key", "a", "b", "word"])
 
 
-def _across(batches):
-    """All pairs up to LOOSE bits of rows ``(key, part, node, word)`` in one bucket and different parts."""
+def _likely(pairs: tuple[np.ndarray, np.ndarray], total: np.ndarray, shared: np.ndarray, codes: np.ndarray, similarity: float, most: int):
+    """The pairs ``(i, j)`` of rows of different parts that can reach the similarity, and the distances of their codes, ``most`` at most.
+
+    ``total`` counts a row's shingles, ``shared`` those that rows of several parts have; only these can be in both.
+    """
+    i, j = pairs
+    common = np.minimum(shared[i], shared[j])
+    can = common >= similarity * (total[i] + total[j] - common)
+    i, j = i[can], j[can]
+    apart = np.zeros(len(i), dtype=np.int64)
+    for at in range(0, len(i), 1 << 16):
+        to = at + (1 << 16)
+        apart[at:to] = np.bitwise_count(codes[i[at:to]] ^ codes[j[at:to]]).sum(axis=1, dtype=np.int64)
+    return i[apart <= most], j[apart <= most], apart[apart <= most]
+
+
+def _across(batches, similarity: float = 0.0, most: int = 0, nearest: int = 0):
+    """All pairs up to LOOSE bits of rows ``(key, part, node, word)`` in one bucket and different parts.
+
+    With ``total``, ``shared`` (see :func:`across_parts`) and ``code`` in the rows, only pairs that can reach ``similarity``
+    and whose codes are ``most`` bits apart at most; of each row's pairs the ``nearest`` by code, if given.
+    """
     for table, start in whole_groups(batches, ["key"], 65_536):
         part, nodes = table.column("part").to_numpy(), table.column("node").to_numpy()
         word = table.column("word").to_numpy().view(np.uint64)
+        if similarity:
+            total, shared = table.column("total").to_numpy(), table.column("shared").to_numpy()
+            codes = table.column("code").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
         for begin, end in zip(start.tolist(), [*start[1:].tolist(), table.num_rows]):
-            # Rows are sorted by part: each meets the rows of earlier parts only.
+            # Rows are sorted by part: each meets the rows of earlier parts only, or of all others to find its nearest.
             firsts = np.r_[begin, begin + 1 + np.flatnonzero(np.diff(part[begin:end])), end]
-            for low, high in zip(firsts[1:-1].tolist(), firsts[2:].tolist()):
+            if len(firsts) == 2:
+                continue
+            for low, high in [(end, end)] if nearest else zip(firsts[1:-1].tolist(), firsts[2:].tolist()):
                 step = max(1, (1 << 21) // (low - begin))
-                for at in range(low, high, step):
-                    # So many rows that their distances fit a few megabytes, or one with slices of the earlier ones.
+                for at in range(begin if nearest else low, high, step):
+                    # So many rows that their distances fit a few megabytes, or one with slices of the others.
                     rows = np.arange(at, min(at + step, high))
                     for there in range(begin, low, 1 << 21):
                         other = np.arange(there, min(there + (1 << 21), low))
-                        i, j = np.nonzero(np.bitwise_count(word[rows][:, None] ^ word[other][None, :]) <= LOOSE)
+                        close = np.bitwise_count(word[rows][:, None] ^ word[other][None, :]) <= LOOSE
+                        if nearest:
+                            close &= part[rows][:, None] != part[other][None, :]
+                        i, j = np.nonzero(close)
+                        i, j = rows[i], other[j]
+                        if similarity:
+                            i, j, apart = _likely((i, j), total, shared, codes, similarity, most)
+                        if nearest and len(i):
+                            order = np.lexsort((j, apart, i))
+                            i, j = i[order], j[order]
+                            place = np.arange(len(i)) - np.searchsorted(i, i)
+                            i, j = i[place < nearest], j[place < nearest]
                         if len(i):
-                            edges = np.sort(np.c_[nodes[rows[i]], nodes[other[j]]], axis=1)
+                            edges = np.sort(np.c_[nodes[i], nodes[j]], axis=1)
                             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
 
 
+def across_parts(spelt: DataFrame, similarity: float, rounds: int = 6) -> DataFrame:
+    """``(node, part, hashes, shared)`` of the rows ``(node, part, hashes)`` that may be linked with one of another part.
+
+    ``shared`` counts the hashes of a row that rows of other parts have too. What two rows of different parts have in common is
+    among those, and the union is no smaller than either, so a row with less than ``similarity`` of its hashes
+    shared has no link; without it fewer hashes are shared, so the rest is looked at again until few rows leave. Rows
+    and hashes are counted by the cluster, no pair is made.
+    """
+    alive, left = spelt, None
+    for _ in range(rounds):
+        listed = alive.select("node", "part", F.explode("hashes").alias("h"))
+        several = listed.groupBy("h").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("h")
+        shared = listed.join(several, "h", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
+        alive = stored(
+            alive.drop("shared").join(shared, "node").where(F.col("shared") >= similarity * F.size("hashes"))
+            .select("node", "part", "hashes", "shared"), "copy-parts")
+        before, left = left, alive.count()
+        if not left or before and left > 0.9 * before:
+            break
+    return alive
+
+
 def near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, recall: float = 0.95,
 ) -> DataFrame:
@@ -278,7 +336,8 @@ def near_copies(
     them. Pairs at the limit meet with probability ``recall``, closer ones more often; no link is made below the limit.
     Before components are sought, each text goes to the smallest it is linked with, so that of the links of
     a crowd few are left. Crowded buckets give a few pairs a row at first; then all their pairs between
-    different groups of the first links are verified too, so that no link that could join groups is left out.
+    different groups of the first links are verified too, so that no link that could join groups is left out, but for
+    those that :func:`across_parts` rules out by the shingles of each text that no other group has.
     """
     rows = doc_texts(docs, id_col, text_col)
     bits, segments = plan_segments(rows.count(), similarity, recall)
@@ -343,17 +402,23 @@ def near_copies(
                 keep.append(shared >= similarity * (len(known[a]) + len(known[b]) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        asked = nodes.join(classes.select("node", "words", F.col("smallest").alias("doc_id")), "node")
+        # An id may stand for several texts; the one of the class counts, once.
+        return (
+            rows.join(asked, "doc_id").select("node", "text", "words").mapInArrow(same_words, "node bigint, text string")
+            .dropDuplicates(["node"]))
+
+    def spelt(batches):
+        for batch in slices(batches):
+            hashes = [shingles(text, width)[1].view(np.int64) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(hashes, pa.list_(pa.int64()))], names=["node", "hashes"])
+
     def verified(pairs: DataFrame) -> DataFrame:
         found = stored(
             pairs.join(codes.select(F.col("node").alias("a"), F.col("code").alias("p")), "a")
             .join(codes.select(F.col("node").alias("b"), F.col("code").alias("q")), "b").where(differ <= most).select("a", "b"), "copy-pairs")
-        asked = (
-            found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-            .join(classes.select("node", "words", F.col("smallest").alias("doc_id")), "node"))
-        # An id may stand for several texts; the one of the class counts, once.
-        texts = stored(
-            rows.join(asked, "doc_id").select("node", "text", "words").mapInArrow(same_words, "node bigint, text string")
-            .dropDuplicates(["node"]), "copy-texts")
+        texts = stored(texts_of(found.select(F.col("a").alias("node")).union(found.select("b")).distinct()), "copy-texts")
         paired = (
             found.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b"))
@@ -369,15 +434,26 @@ def near_copies(
         joined = connected_components(leads).withColumnRenamed("node", "m")
         return least.join(joined, "m", "left").select("node", F.coalesce("component", "m").alias("component"))
 
-    first = verified(met.where("key is null").select("a", "b").distinct())
-    groups = stored(grouped(first), "copy-groups")
+    tried = met.where("key is null").select("a", "b").distinct()
+    groups = stored(grouped(verified(tried)), "copy-groups")
     crowded = met.where("key is not null").select("key", F.col("a").alias("node"), "word")
-    rest = (
-        crowded.join(groups, "node", "left").select("key", F.coalesce("component", "node").alias("part"), "node", "word")
-        .repartition("key").sortWithinPartitions("key", "part", "node").mapInArrow(_across, "a bigint, b bigint").distinct()
-        .join(met.where("key is null").select("a", "b").distinct(), ["a", "b"], "left_anti"))
-    # The groups found stand for their links.
-    groups = grouped(verified(rest).union(groups.where("node <> component").select("node", "component")))
+    texts = texts_of(crowded.select("node").distinct()).select("node", "text")
+    alive = stored(texts.mapInArrow(spelt, "node bigint, hashes array<bigint>"), "copy-shingles")
+    # The nearest rows of other groups first: what they join needs no further pair. Then all that are left.
+    for nearest in (NEAREST, 0):
+        parts = alive.select("node", "hashes").join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "hashes")
+        alive = across_parts(parts, similarity)
+        able = alive.select("node", "part", F.size("hashes").cast("bigint").alias("total"), "shared").join(codes, "node")
+
+        def across(batches, nearest=nearest):
+            return _across(batches, similarity, most, nearest)
+
+        pairs = stored(
+            crowded.join(able, "node").repartition("key").sortWithinPartitions("key", "part", "node")
+            .mapInArrow(across, "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti"), "copy-meetings")
+        tried = tried.union(pairs)
+        # The groups found stand for their links.
+        groups = stored(grouped(verified(pairs).union(groups.where("node <> component").select("node", "component"))), "copy-groups")
     smallest = groups.join(classes.select("node", "smallest"), "node")
     lowest = smallest.groupBy("component").agg(F.min("smallest").alias("component_id"))
     labels = classes.join(groups.join(lowest, "component"), "node", "left").select(

@@ -264,3 +264,34 @@ def test_pipeline_stages(shared):
         assert stage(shared, docs.limit(0), SF).columns == docs.columns
     masked = corpus_pipeline.STAGES[3][1](shared, docs, SF).toPandas()["text"]
     assert not any(pii.base_spans(t or "") for t in masked)
+
+
+def test_a_crowd_without_links_across_groups_makes_few_pairs(make_docs, monkeypatch):
+    """Texts too far from a crowd of near copies are not held against each of them; what may join groups still is."""
+    rng = np.random.default_rng(29)
+    base = [f"c{x}" for x in rng.integers(0, 5000, 150)]
+
+    def changed(*at):
+        return " ".join(f"x{rng.integers(1e9)}" if i in at else w for i, w in enumerate(base))
+
+    crowd = [" ".join(base), *(changed(10 + i % 130) for i in range(200))]
+    far = [changed(12 + i % 10, 42 + i % 9, 72 + i % 8, 102 + i % 7, 132 + i % 6) for i in range(100)]
+    # One that is close to a far one only.
+    twin = far[0].replace(base[90], "y")
+    texts = [*crowd, *far, twin]
+    made = []
+
+    def counting(df, label):
+        out = stored(df, label)
+        if label == "copy-pairs":
+            made.append(out.count())
+        return out
+
+    stored = simhash.stored
+    monkeypatch.setattr(simhash, "stored", counting)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(make_docs(enumerate(texts))).collect()}
+    want, _ = similar_groups(texts)
+    assert len(got) == len(texts) and all(want[got[i]] == want[i] for i in got)
+    assert sum(got[i] == 0 for i in got) == len(crowd) and got[len(texts) - 1] == len(crowd)
+    # Beyond the first pairs of the buckets.
+    assert sum(made[1:]) <= 5 * len(texts)
