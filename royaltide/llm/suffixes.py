@@ -142,44 +142,58 @@ def _induce_buckets(s: np.ndarray, small: np.ndarray, order: np.ndarray, heads:
 
     A bucket is read again as long as it induces into itself, which only runs of one symbol do.
     """
-    out = np.zeros(len(s), dtype=np.int64)
-    width = np.uint16 if len(heads) < 1 << 16 else np.int64
-    keys = s.astype(width)
-    firsts = np.searchsorted(s[order], np.arange(len(heads)))
-
-    def deal(sources: np.ndarray, kind: bool, ends: np.ndarray, step: int) -> None:
-        before = sources[sources > 0] - 1
-        before = before[small[before] == kind]
-        if not len(before):
+    n = len(s)
+    out = np.zeros(n, dtype=np.int32)
+    keys = s.astype(np.uint16 if len(heads) < 1 << 16 else np.int32)
+    firsts = np.searchsorted(s[order], np.arange(len(heads))).tolist()
+    order, heads, count_up = order.astype(np.int32), heads.astype(np.int32), np.arange(n, dtype=np.int32)
+    # What stands before each place, if of the kind that is induced.
+    place = np.arange(-1, n - 1, dtype=np.int32)
+    large_before, small_before = np.where(small[place], -1, place), np.where(small[place], place, -1)
+    large_before[0] = small_before[0] = -1
+
+    def deal(found: np.ndarray, ends: np.ndarray, step: int) -> None:
+        found = found[found >= 0]
+        size = len(found)
+        if not size:
             return
-        sign = keys[before]
-        by_sign = np.argsort(sign, kind="stable")
-        before, sign = before[by_sign], sign[by_sign]
-        edge = np.flatnonzero(np.concatenate(([True], sign[1:] != sign[:-1])))
-        count = np.diff(np.append(edge, len(sign)))
-        rank = np.arange(len(sign)) - np.repeat(edge, count)
-        base = ends[sign]
-        out[base + rank if step > 0 else base - 1 - rank] = before
-        ends[sign[edge]] += step * count
+        sign = keys[found]
+        by_sign = sign.argsort(kind="stable")
+        found, sign = found[by_sign], sign[by_sign]
+        last = np.empty(size, dtype=bool)
+        last[-1] = True
+        np.not_equal(sign[1:], sign[:-1], out=last[:-1])
+        edge = last.nonzero()[0]
+        sign, count = sign[edge], edge + 1
+        count[1:] -= edge[:-1] + 1
+        # The first of each sign goes to the next place of its bucket, the others behind it.
+        if step > 0:
+            out[(ends[sign] - (edge + 1 - count)).repeat(count) + count_up[:size]] = found
+            ends[sign] += count.astype(np.int32)
+        else:
+            out[(ends[sign] - 1 + (edge + 1 - count)).repeat(count) - count_up[:size]] = found
+            ends[sign] -= count.astype(np.int32)
 
     starts = heads[:-1].copy()
-    last = len(s) - 1
+    last = n - 1
     out[starts[s[last]]] = last
     starts[s[last]] += 1
     for c in range(len(starts)):
         read = heads[c]
         while read < starts[c]:
-            fresh, read = out[read:starts[c]].copy(), starts[c]
-            deal(fresh, False, starts, 1)
-        deal(order[firsts[c]:firsts[c + 1]], False, starts, 1)
+            fresh, read = large_before[out[read:starts[c]]], starts[c]
+            deal(fresh, starts, 1)
+        if firsts[c] < firsts[c + 1]:
+            deal(large_before[order[firsts[c]:firsts[c + 1]]], starts, 1)
     ends = heads[1:].copy()
     for c in reversed(range(len(starts))):
         read = heads[c + 1]
         while read > ends[c]:
-            fresh, read = out[ends[c]:read][::-1].copy(), ends[c]
-            deal(fresh, True, ends, -1)
-        deal(out[heads[c]:starts[c]][::-1].copy(), True, ends, -1)
-    return out
+            fresh, read = small_before[out[ends[c]:read][::-1]], ends[c]
+            deal(fresh, ends, -1)
+        if heads[c] < starts[c]:
+            deal(small_before[out[heads[c]:starts[c]][::-1]], ends, -1)
+    return out.astype(np.int64)
 
 
 def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int, run: int = 64) -> np.ndarray:
